@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from needlework.llm import kk_packing, order_minhash, quality_ledger, ring_shards, suffix_dedup
+from needlework.llm import cgk_decontam, host_suffixes, kk_packing, order_minhash, quality_ledger, ring_shards, suffix_dedup
 
-MODULES = [kk_packing, order_minhash, suffix_dedup, quality_ledger, ring_shards]
+MODULES = [kk_packing, host_suffixes, cgk_decontam, order_minhash, suffix_dedup, quality_ledger, ring_shards]
 
 
 def queries() -> dict:
