@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from needlework.llm import cgk_decontam, host_suffixes, kk_packing, order_minhash, quality_ledger, ring_shards, suffix_dedup, url_rules, warc_writer
+from needlework.llm import attention_lm, cgk_decontam, host_suffixes, kk_packing, order_minhash, quality_ledger, ring_shards, suffix_dedup, url_rules, warc_writer
 
-MODULES = [warc_writer, url_rules, kk_packing, host_suffixes, cgk_decontam, order_minhash, suffix_dedup, quality_ledger, ring_shards]
+MODULES = [attention_lm, warc_writer, url_rules, kk_packing, host_suffixes, cgk_decontam, order_minhash, suffix_dedup, quality_ledger, ring_shards]
 
 
 def queries() -> dict:
