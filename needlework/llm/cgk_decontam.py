@@ -170,7 +170,8 @@ def findings(docs: DataFrame, items: DataFrame, edits: float = EDITS) -> DataFra
 def decontaminate(docs: DataFrame, items: DataFrame, edits: float = EDITS) -> DataFrame:
     """docs without those that are contaminated by any item (by doc_id: rows that share a contaminated doc_id all go)."""
     bad = findings(docs, items, edits).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
+    return marked.join(bad, F.col("_id").eqNullSafe(F.col("_bad")), "left_anti").select("_row.*")
 
 
 def op9_cgk_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,13 +179,13 @@ def duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one document of each group, that with the least doc_id; of a row given twice one stays."""
     gone = duplicates(docs, similarity)
-    whole = gone.where("copies = 1 OR duplicate_of != key").select(F.col("key").alias("_key"), F.col("digest").alias("_digest")).distinct()
-    marked = docs.withColumn("_key", key_of()).withColumn("_digest", F.unhex(F.md5("text")))
-    left = marked.join(whole, ["_key", "_digest"], "left_anti")
+    whole = gone.where("copies = 1 OR duplicate_of != key").select("key", "digest").distinct()
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key_of(), F.unhex(F.md5("text")).alias("digest"))
+    left = marked.join(whole, ["key", "digest"], "left_anti")
     if not gone.where("copies > 1 AND duplicate_of = key").isEmpty():
-        twice = Window.partitionBy("_key", "_digest").orderBy(F.lit(0))
-        left = left.withColumn("_twin", F.row_number().over(twice)).where("_twin = 1 OR text IS NULL").drop("_twin")
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+        twice = Window.partitionBy("key", "digest").orderBy(F.lit(0))
+        left = left.withColumn("_twin", F.row_number().over(twice)).where("_twin = 1 OR _row.text IS NULL")
+    return left.select("_row.*")
 
 
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
