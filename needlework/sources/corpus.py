@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import fnmatch
 import glob as globs
 import os
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from needlework.functions.bytes import TEXT, InvalidInput, checked
 
@@ -78,14 +79,26 @@ def read_files(spark: SparkSession, paths: Sequence[str], mode: str = TEXT) -> D
     if missing:
         raise FileNotFoundError(missing[0])
     order = spark.createDataFrame([(i, "file:" + os.path.abspath(p)) for i, p in enumerate(paths)], "doc_id long, path string")
-    files = spark.read.format("binaryFile").load(sorted({os.path.abspath(p) for p in paths}))
-    bare = F.regexp_replace("path", "^file:/*", "file:/")
-    return files.withColumn("path", bare).join(order, "path").select("doc_id", F.regexp_replace("path", "^file:", "").alias("source_path"), checked(F.col("content"), mode).alias("content"), F.col("length").cast("long").alias("len"))
+    return _contents(order, spark.read.format("binaryFile").load(sorted({os.path.abspath(p) for p in paths})), mode)
+
+
+def _contents(order: DataFrame, files: DataFrame, mode: str) -> DataFrame:
+    """Contents for order(doc_id, path); Spark's reader skips files without bytes, which are documents all the same."""
+    files = files.withColumn("path", F.regexp_replace("path", "^file:/*", "file:/"))
+    content = F.coalesce(F.col("content"), F.lit(b""))
+    return order.join(files, "path", "left").select("doc_id", F.regexp_replace("path", "^file:", "").alias("source_path"), checked(content, mode).alias("content"), F.coalesce("length", F.lit(0)).cast("long").alias("len"))
 
 
 def read_folder(spark: SparkSession, folder: str, name_glob: str = "*", recursive: bool = True, mode: str = TEXT) -> DataFrame:
-    """Every file below a folder of any file system that Spark reads; ids are ranks of the paths."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", name_glob).option("recursiveFileLookup", recursive).load(folder)
-    # ranks need the paths alone
-    paths = files.select("path").withColumn("doc_id", (F.row_number().over(Window.orderBy("path")) - 1).cast("long"))
-    return files.join(paths, "path").select("doc_id", F.col("path").alias("source_path"), checked(F.col("content"), mode).alias("content"), F.col("length").cast("long").alias("len"))
+    """Every file below a folder of any file system that Spark reads; ids are ranks of the paths in byte order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, recursive)
+    found = []
+    while listed.hasNext():
+        at = listed.next().getPath()
+        if fnmatch.fnmatchcase(at.getName(), name_glob):
+            found.append(re.sub("^file:/*", "file:/", at.toString()))
+    if not found:
+        raise FileNotFoundError(f"{folder}/{name_glob}")
+    order = spark.createDataFrame(list(enumerate(sorted(found, key=os.fsencode))), "doc_id long, path string")
+    return _contents(order, spark.read.format("binaryFile").option("pathGlobFilter", name_glob).option("recursiveFileLookup", recursive).load(folder), mode)
