@@ -4,12 +4,14 @@ A document's k-mers are its pairs of neighbouring words, labelled with their occ
 labelled k-mers; a sketch is those two in text order, so it answers to edit similarity and not only to the set of words. Documents that share a sketch
 are candidates; candidates are near copies iff the edit distance of their words is at most ``1 - similarity`` of the longer one's words, found by banded
 alignment. Exact copies (equal texts) are collapsed first. Near copies are linked in two passes that together leave out only pairs already joined: each
-member of a bucket against the bucket's least document, then all pairs of a bucket that lie in different components. Groups are the connected components.
+member of a bucket against the bucket's least document, then all pairs of a bucket that lie in different components (but for those whose word
+histograms rule a near copy out). Groups are the connected components.
 
 With similarity s, two words in a row survive with about s**2; at 0.8 a sketch agrees with about 0.22 and one of 16 with about 0.98.
 
 Nulls are copies of nothing. Empty texts (and any equal texts) are copies of each other. A null doc_id sorts before all others. A row given twice is a
-copy of itself: one stays. Texts of one word are compared by that word. Very long texts are compared whole. Empty tables give empty results. Columns other
+copy of itself: one stays. Rows that share a doc_id
+but differ in text are versions of one document: what any of them is a copy of, the document is. Texts of one word are compared by that word. Very long texts are compared whole. Empty tables give empty results. Columns other
 than doc_id and text are carried by ``dedup`` and ignored by ``duplicates``.
 """
 
@@ -32,6 +34,7 @@ K = 2
 SKETCHES = 16
 SIMILARITY = 0.8
 NULL_KEY = -(2**63)
+BINS = 256
 _SEEDS = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, (2, 64), dtype=np.uint64)
 
 
@@ -87,25 +90,57 @@ def sketches(words: tokens.Words, k: int = K, count: int = SKETCHES) -> np.ndarr
     return out
 
 
+def histograms(words: tokens.Words) -> np.ndarray:
+    """Words of each text by ``BINS`` bins of their hash; counts stop at 255."""
+    n = np.diff(words.first)
+    at = np.repeat(np.arange(len(n)) * BINS, n) + (words.hashes >> np.uint64(64 - 8)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=len(n) * BINS), 255).astype(np.uint8).reshape(len(n), BINS)
+
+
+def fixed(rows: np.ndarray) -> pa.Array:
+    """A binary value for each row of bytes."""
+    width = rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, (len(rows) + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """key, digest, n_words, sketches of docs(doc_id, text) with a text."""
+    """key, digest, n_words, sketches and bins of docs(doc_id, text) with a text."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in tokens.slices(whole, 2):
                 words = tokens.words(batch.column(2))
                 s = sketches(words).view(np.int64)
+                bins = histograms(words)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, s.size + 1, SKETCHES, dtype=np.int32)), pa.array(s.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(words.first).astype(np.int32)), lists], ["key", "digest", "n_words", "sketches"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(words.first).astype(np.int32)), lists, fixed(bins)], ["key", "digest", "n_words", "sketches", "bins"])
 
     texts = docs.where("text IS NOT NULL").select(key_of(), F.unhex(F.md5("text")).alias("digest"), "text")
-    return texts.mapInArrow(sign, "key long, digest binary, n_words int, sketches array<long>")
+    return texts.mapInArrow(sign, "key long, digest binary, n_words int, sketches array<long>, bins binary")
 
 
 def key_of():
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key")
 
 
+def possible(pairs: DataFrame, signed: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that their histograms don't rule out: an edit changes two bins by one at most, so the distance is half their difference at least."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in (3, 4))
+                limit = np.floor((1 - similarity) * part.column(2).to_numpy() + 1e-9)
+                keep = pa.array(np.abs(x - y).sum(axis=1, dtype=np.int64) <= 2 * limit)
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], ["a", "b"])
+
+    left = signed.select(F.col("key").alias("a"), F.col("n_words").alias("_m"), F.col("bins").alias("_x"))
+    right = signed.select(F.col("key").alias("b"), F.col("n_words").alias("_n"), F.col("bins").alias("_y"))
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", F.greatest("_m", "_n").alias("_most"), "_x", "_y")
+    return joined.mapInArrow(compare, "a long, b long")
+
+
 def near(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) that are near copies."""
 
@@ -129,7 +164,7 @@ def duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """A row for each document that goes: key, digest, duplicate_of (the least doc_id of its group, as key), kind (exact or near), copies (rows with this key and text)."""
     signed = written(signatures(docs), "signatures")
     least = Window.partitionBy("digest").orderBy("key")
-    ranked = signed.withColumn("_r", F.row_number().over(least)).withColumn("_rep", F.min("key").over(Window.partitionBy("digest")))
+    ranked = signed.select("key", "digest", "n_words", "sketches").withColumn("_r", F.row_number().over(least)).withColumn("_rep", F.min("key").over(Window.partitionBy("digest")))
     reps = ranked.where("_r = 1")
     bands = reps.where("n_words > 0").select("key", "n_words", F.explode("sketches").alias("band"))
     # a document is in a bucket once, though two of its sketches may agree
@@ -155,6 +190,7 @@ def duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     words = written(texts.join(needed, ["key", "digest"]).dropDuplicates(["key", "digest"]).select("key", "text").mapInArrow(pack_words, "key long, words binary"), "words")
     linked = written(near(first, words, similarity), "links")
     joined = components(linked)
+    bins = signed.join(reps.select("key", "digest"), ["key", "digest"], "left_semi")
     # second pass: what lies in one bucket but not in one component
     placed = buckets.where("_n > 2 AND key != pivot").join(joined, "key", "left").withColumn("comp", F.coalesce("root", "key"))
     parts = placed.groupBy("band", "comp").agg(F.collect_set(F.struct("key", "n_words")).alias("members"))
@@ -169,7 +205,7 @@ def duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         .select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b"))
         .distinct()
     )
-    links = written(linked.union(near(second, words, similarity)), "links")
+    links = written(linked.union(near(possible(second, bins, similarity), words, similarity)), "links")
     roots = components(links)
     flagged = ranked.join(roots.withColumnRenamed("key", "_rep"), "_rep", "left").withColumn("duplicate_of", F.coalesce("root", "_rep"))
     flagged = flagged.withColumn("copies", F.count("*").over(Window.partitionBy("key", "digest")))

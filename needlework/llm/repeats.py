@@ -26,7 +26,8 @@ BLOCK_TOKENS = 1_500_000
 
 
 def gram_length(window: int) -> int:
-    return max(1, window * 2 // 5)
+    """Words of a gram: two at least, so that a window of different words has a gram of different words."""
+    return max(2, window * 2 // 5)
 
 
 def anchors(words: tokens.Words, window: int, salt: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
