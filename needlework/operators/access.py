@@ -7,22 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from needlework.functions.bytes import BINARY, TEXT, InvalidInput
+from needlework.operators.shard import ranged
 
 
 def offsets(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, stop) of documents(doc_id, len) written one after another in id order: partition sums first, then sums within a partition."""
-    from needlework.operators.shard import plan
-
-    made = plan(docs, None)
-    bounds = made.select("doc_id", F.col("shard_offset").alias("start"), (F.col("shard_offset") + F.col("len")).alias("stop"))
-    # documents without bytes have no segment: they start where the next one does
-    empty = docs.where("len = 0").select(F.col("doc_id").cast("long"))
-    if empty.isEmpty():
-        return bounds
-    sizes = docs.select(F.col("doc_id").cast("long"), "len").join(bounds, "doc_id", "left")
-    before = Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    start = F.coalesce("start", F.max("stop").over(before), F.lit(0))
-    return sizes.select("doc_id", start.alias("start"), F.coalesce("stop", start).alias("stop"))
+    """(doc_id, start, stop) of documents(doc_id, len) written one after another in id order: sums of the ranges first, then running sums within a range."""
+    ordered = ranged(docs)
+    # a row for each range of a million documents
+    before, heads = 0, []
+    for r in ordered.groupBy("part").agg(F.sum("len").alias("n")).orderBy("part").collect():
+        heads.append((r["part"], before))
+        before += r["n"]
+    ahead = docs.sparkSession.createDataFrame(heads, "part int, _head long")
+    within = Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stop = (F.col("_head") + F.sum("len").over(within)).cast("long")
+    return ordered.join(F.broadcast(ahead), "part").select("doc_id", (stop - F.col("len")).alias("start"), stop.alias("stop"))
 
 
 def documents_at(bounds: DataFrame, places: DataFrame, text_len: int) -> DataFrame:

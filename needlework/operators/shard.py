@@ -42,16 +42,26 @@ def fold(lengths: np.ndarray, cap: int, used: int) -> Iterator[tuple[int, int, i
         used += rest
 
 
+def ranged(docs: DataFrame) -> DataFrame:
+    """(doc_id, len, part): ranges of about RANGE_ROWS documents by id, which stay as they are from pass to pass.
+
+    The rows are two numbers a document. They are checkpointed where the session names a folder for that, so that a lost executor can't move a range.
+    """
+    sizes = docs.select(F.col("doc_id").cast("long"), F.col("len").cast("long"))
+    ranges = max(1, math.ceil(sizes.count() / RANGE_ROWS))
+    ordered = sizes.repartitionByRange(ranges, "doc_id").withColumn("part", F.spark_partition_id())
+    context = docs.sparkSession.sparkContext
+    if context.getCheckpointDir():
+        return ordered.checkpoint()
+    return ordered.persist(StorageLevel.MEMORY_AND_DISK if context.master.startswith("local[") else StorageLevel.MEMORY_AND_DISK_2)
+
+
 def plan(docs: DataFrame, chunk_size: int | None) -> DataFrame:
     """Segments without content of docs(doc_id, len); chunk_size None is one shard for all."""
     if chunk_size is not None and chunk_size < 2:
         raise InvalidInput("chunk_size is 2 at least")
     cap = chunk_size - 1 if chunk_size is not None else 1 << 62
-    sizes = docs.select(F.col("doc_id").cast("long"), F.col("len").cast("long"))
-    ranges = max(1, math.ceil(sizes.count() / RANGE_ROWS))
-    ordered = sizes.repartitionByRange(ranges, "doc_id").withColumn("part", F.spark_partition_id())
-    # ranges must not move between the passes; the rows are two numbers a document
-    ordered = ordered.persist(StorageLevel.MEMORY_AND_DISK_2 if not docs.sparkSession.sparkContext.master.startswith("local[") else StorageLevel.MEMORY_AND_DISK)
+    ordered = ranged(docs)
     starts: dict[int, int] = {}
 
     def ends(used: dict[int, int]):

@@ -123,7 +123,7 @@ def doc_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pos_to_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounds = access.offsets(docs(spark, sf_dir))
-    text_len = bounds.agg(F.max("stop")).first()[0] + 1
+    text_len = (bounds.agg(F.max("stop")).first()[0] or 0) + 1
     places = spark.createDataFrame([(p,) for p in [*PLACES, text_len - 1, text_len, text_len + 10]], "pos long")
     return access.documents_at(bounds, places, text_len)
 
