@@ -1,6 +1,6 @@
 """Operator 5: near-duplicate documents by Order MinHash.
 
-A document's k-mers are its pairs of neighbouring words, labelled with their occurrence number. Each of ``SKETCHES`` random orders picks the two least
+Words are runs of letters and digits, lower-cased. A document's k-mers are its pairs of neighbouring words, labelled with their occurrence number. Each of ``SKETCHES`` random orders picks the two least
 labelled k-mers; a sketch is those two in text order, so it answers to edit similarity and not only to the set of words. Documents that share a sketch
 are candidates; candidates are near copies iff the edit distance of their words is at most ``1 - similarity`` of the longer one's words, found by banded
 alignment. Exact copies (equal texts) are collapsed first. Near copies are linked in two passes that together leave out only pairs already joined: each
@@ -11,7 +11,8 @@ With similarity s, two words in a row survive with about s**2; at 0.8 a sketch a
 
 Nulls are copies of nothing. Empty texts (and any equal texts) are copies of each other. A null doc_id sorts before all others. A row given twice is a
 copy of itself: one stays. Rows that share a doc_id
-but differ in text are versions of one document: what any of them is a copy of, the document is. Texts of one word are compared by that word. Very long texts are compared whole. Empty tables give empty results. Columns other
+but differ in text are versions of one document: what any of them is a copy of, the document is. Texts of one word are compared by that word, texts without words
+by equality only. Very long texts are compared whole. Empty tables give empty results. Columns other
 than doc_id and text are carried by ``dedup`` and ignored by ``duplicates``.
 """
 
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,6 +40,11 @@ BINS = 256
 _SEEDS = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, (2, 64), dtype=np.uint64)
 
 
+def plain_words(texts: pa.Array) -> tokens.Words:
+    """Lower-case words without ASCII punctuation: neither case nor punctuation makes a copy another text."""
+    return tokens.words(pc.utf8_lower(texts), tokens.NOT_ALNUM)
+
+
 def labelled(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Each k-mer's hash mixed with its occurrence number within its text."""
     key = hashes ^ tokens.mix(text.astype(np.uint64) + np.uint64(1))
@@ -109,7 +116,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in tokens.slices(whole, 2):
-                words = tokens.words(batch.column(2))
+                words = plain_words(batch.column(2))
                 s = sketches(words).view(np.int64)
                 bins = histograms(words)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, s.size + 1, SKETCHES, dtype=np.int32)), pa.array(s.ravel()))
@@ -180,7 +187,7 @@ def duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     def pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in tokens.slices(whole, 1):
-                w = tokens.words(batch.column(1))
+                w = plain_words(batch.column(1))
                 data = (w.hashes >> np.uint64(32)).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((w.first * 4).astype(np.int32)), pa.py_buffer(data)])], ["key", "words"])
 

@@ -9,6 +9,7 @@ import itertools
 import json
 import math
 import random
+import re
 import struct
 from collections import Counter
 
@@ -66,6 +67,8 @@ def corpus():
         docs.append(rng.choice(docs[:40]))
     for _ in range(25):
         docs.append(edited(rng, rng.choice(docs[:40]), rng.choice([0.02, 0.1, 0.3])))
+    for _ in range(5):
+        docs.append(" ".join(w.title() + rng.choice(["", ",", ".", "!"]) for w in rng.choice(docs[:40]).split()))
     passage = prose(rng, 70, 3000)
     for _ in range(6):
         docs.append(prose(rng, rng.randrange(5, 40), 3000) + " " + passage + "\n" + prose(rng, 20, 3000))
@@ -79,7 +82,7 @@ def corpus():
 
 def near_groups(docs, similarity=0.8):
     """doc -> least doc of its group, all pairs compared."""
-    words = {i: t.split() for i, t in docs}
+    words = {i: re.findall(r"[^\W_]+", t.lower()) for i, t in docs}
     root = {i: i for i, _ in docs}
 
     def find(x):
@@ -111,8 +114,6 @@ def cover_of(docs, window):
 
 
 def leaks_of(docs, items, edits=0.2):
-    import re
-
     split = lambda t: re.findall(r"[a-z0-9]+", t.lower())
     found = {}
     for i, t in docs:
