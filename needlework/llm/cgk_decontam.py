@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 
 from needlework.llm import tokens
 from needlework.llm.align import distances
-from needlework.llm.scratch import load
+from needlework.llm.scratch import load, written
 
 EDITS = 0.2
 WALKS = 8
 TABLES = 4
 SAMPLED = 3
 ITEM_WORDS = 2_000_000
+#: contaminated ids that are sent to all tasks at most; more are joined by a shuffle
+BROADCAST_IDS = 500_000
 _RNG = np.random.Generator(np.random.PCG64(4242))
 _STEP = _RNG.integers(1, 2**63, (WALKS, 1 << 14), dtype=np.uint64) | np.uint64(1)
 _PLACES = _RNG.random((WALKS, TABLES, SAMPLED))
@@ -169,7 +171,10 @@ def findings(docs: DataFrame, items: DataFrame, edits: float = EDITS) -> DataFra
 
 def decontaminate(docs: DataFrame, items: DataFrame, edits: float = EDITS) -> DataFrame:
     """docs without those that are contaminated by any item (by doc_id: rows that share a contaminated doc_id all go)."""
-    bad = findings(docs, items, edits).select(F.col("doc_id").alias("_bad")).distinct()
+    bad = written(findings(docs, items, edits).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
+    if bad.count() <= BROADCAST_IDS:
+        # the texts stay where they are
+        bad = F.broadcast(bad)
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
     return marked.join(bad, F.col("_id").eqNullSafe(F.col("_bad")), "left_anti").select("_row.*")
 

@@ -118,7 +118,9 @@ def test_passages(spark, docs, none):
     assert suffix_dedup.dedup(none).count() == 0
 
 
-def test_decontamination(spark, docs, none):
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_decontamination(spark, docs, none, monkeypatch, most):
+    monkeypatch.setattr(cgk_decontam, "BROADCAST_IDS", most)
     items = spark.createDataFrame([(1, "plain TEXT of a few, words!", "x"), (2, None, "x"), (3, "", "x"), (4, "!!!", "x"), (None, "w20 w21 w22 w23 w24", "x"), (1, "plain TEXT of a few, words!", "x")], "item_id long, text string, doc_id string")
     got = {(r["doc_id"], r["item_id"], r["n_edits"]) for r in cgk_decontam.findings(docs, items).collect()}
     assert got == {(1, 1, 0), (6, None, 0), (7, None, 0)}
