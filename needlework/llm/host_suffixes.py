@@ -2,27 +2,44 @@
 
 A page becomes a stream of tokens: words, and its tags by name; comments, scripts and styles are left out. Runs of ``WINDOW`` tokens that occur on two distinct pages of
 the same host are boilerplate, wherever they occur; every token that such a run covers goes, and the words of the unique runs are kept, with a line
-break where a block of the page ends. The repeated runs are read off suffixes sorted in blocks that together cover all pages of the host (see repeats).
+break where a block of the page ends.
+
+Streams move once, compressed, to bins of about ``GROUP_BYTES`` of html. A bin holds hosts whole, or parts of a larger host (by page). It concatenates its streams, cuts
+out the stretches whose minimizers recur on another page, sorts their suffixes (difference cover) and reads the repeated runs off the order. A larger host's parts
+tell each other what they share: first their minimizers, then the hashes of the windows round those that two parts have; both follow the bins' distinct
+minimizers, not the texts, so a host may be of any size.
 
 Nulls and empty pages give an empty text. A null url is a host of its own. A page given twice (same page_id) is one page and covers nothing of itself. Pages of any
-length are read whole. Empty tables give an empty result. Columns other than page_id, url and html are ignored.
+length are read whole. Empty tables give an empty result. Columns other than page_id, url and html are ignored. Runs of one token over and over aren't boilerplate.
 """
 
 from __future__ import annotations
 
 import html as entities
+import itertools
+import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from needlework.llm.repeats import repeats
-from needlework.llm.scratch import load
+from needlework.llm import tokens
+from needlework.llm.repeats import anchors, covered, strips
+from needlework.llm.scratch import load, written
 
 WINDOW = 12
+GROUP_BYTES = 32 << 20
+#: hosts of more than one part that are sent to all tasks at most; more are joined by a shuffle
+BROADCAST_HOSTS = 100_000
 NULL_KEY = -(2**63)
+#: characters that part words by bytes but not for str.split
+CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f]")
 MARK = "\x7f"
 _GONE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
 _TAG = re.compile(r"<(/?[a-zA-Z][a-zA-Z0-9]*)[^>]*>")
@@ -31,7 +48,7 @@ INLINE = {"a", "b", "i", "em", "strong", "span", "u", "s", "small", "sub", "sup"
 
 def stream(page: str) -> str:
     """Words and marked tag names, parted by single spaces."""
-    page = _GONE.sub(" ", page.replace(MARK, ""))
+    page = _GONE.sub(" ", CONTROL.sub(" ", page.replace(MARK, "")))
     out, at = [], 0
     for tag in _TAG.finditer(page):
         out.append(entities.unescape(page[at : tag.start()]))
@@ -49,10 +66,10 @@ def _words(parts: list[str]) -> Iterator[str]:
             yield from x.replace(MARK, "").split()
 
 
-def text_of(tokens: list[str]) -> str:
+def text_of(kept: list[str]) -> str:
     """Words of kept tokens; a block's tag breaks the line."""
     lines: list[list[str]] = [[]]
-    for t in tokens:
+    for t in kept:
         if t[0] != MARK:
             lines[-1].append(t)
         elif t[1:].lstrip("/") not in INLINE and lines[-1]:
@@ -64,45 +81,127 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def streams(pages: DataFrame) -> DataFrame:
-    """key, tid, salt (host) and text (the token stream) of each page."""
+def streams(rows: DataFrame) -> DataFrame:
+    """rows(key, host, parts, bin, html) with the token stream in place of the html: its size and its compressed bytes."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=3)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([stream(x or "") for x in part.column(3).to_pylist()], pa.string())], ["key", "tid", "salt", "text"])
-
-    rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NULL_KEY)).alias("key"), F.xxhash64("html", "url").alias("tid"), host_of(F.col("url")).alias("salt"), "html")
-    return rows.mapInArrow(parse, "key long, tid long, salt string, text string")
-
-
-def extract(pages: DataFrame, window: int = WINDOW) -> DataFrame:
+                raw = [stream(x or "").encode() for x in part.column(4).to_pylist()]
+                packed = pa.array([codec.compress(x, asbytes=True) if x else b"" for x in raw], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array([len(x) for x in raw], pa.int32()), packed], ["key", "host", "parts", "bin", "size", "packed"])
+
+    return rows.select("key", "host", "parts", "bin", "html").mapInArrow(parse, "key long, host string, parts int, bin int, size int, packed binary")
+
+
+class Bin:
+    """The streams of a bin's pages, or of those whose hosts have several parts."""
+
+    def __init__(self, table: pa.Table, window: int, split_only: bool):
+        if split_only:
+            table = table.filter(pc.greater(table.column("parts"), 1))
+        codec = pa.Codec("zstd")
+        self.host = table.column("host").to_pylist()
+        self.key = table.column("key").to_numpy()
+        sizes, packed = table.column("size").to_pylist(), table.column("packed").to_pylist()
+        self.texts = [codec.decompress(x, n, asbytes=True).decode() if n else "" for x, n in zip(packed, sizes, strict=True)]
+        words = tokens.words(pa.array(self.texts, pa.large_string()))
+        # equal words of different hosts are different tokens
+        salt = np.array([xxhash.xxh64_intdigest(x, seed=1) for x in self.host], np.uint64)
+        self.words = tokens.Words(tokens.mix(words.hashes ^ np.repeat(salt, np.diff(words.first))), words.first)
+        self.window = window
+        self.starts, self.best, self.grams = anchors(self.words, window)
+        self.anchor = self.grams[self.best]
+
+    def windows(self) -> np.ndarray:
+        """A hash of the window at each start."""
+        return tokens.runs(self.words.hashes, self.window)[self.starts]
+
+    def cover(self, foreign: np.ndarray) -> np.ndarray:
+        """For each token whether a window covers it that is on another page of the bin or among the foreign ones."""
+        change = np.zeros(len(self.words.hashes) + 1, np.int64)
+        if not len(self.starts):
+            return change[:-1] > 0
+        row = np.searchsorted(self.words.first, self.starts, "right") - 1
+        by = np.argsort(self.anchor, kind="stable")
+        lead = np.flatnonzero(np.concatenate([[True], self.anchor[by[1:]] != self.anchor[by[:-1]]]))
+        key = self.key[row[by]]
+        shared = np.minimum.reduceat(key, lead) != np.maximum.reduceat(key, lead)
+        chosen = np.zeros(len(by), bool)
+        chosen[by] = np.repeat(shared, np.diff(np.concatenate([lead, [len(by)]])))
+        if chosen.any():
+            _, at, begin, data = strips(self.words, self.window, self.starts[chosen], self.best[chosen])
+            table = pa.table({"key": self.key[at], "tid": at, "start": begin, "words": data})
+            found = covered(table, self.window, first_stays=False)
+            head = self.words.first[found.column("tid").to_numpy()]
+            np.add.at(change, head + found.column("start").to_numpy(), 1)
+            np.add.at(change, head + found.column("stop").to_numpy(), -1)
+        if len(foreign):
+            hit = self.starts[np.isin(self.windows(), foreign)]
+            np.add.at(change, hit, 1)
+            np.add.at(change, hit + self.window, -1)
+        return np.cumsum(change[:-1]) > 0
+
+
+def hashes(table: pa.Table) -> np.ndarray:
+    return table.column("h").to_numpy().view(np.uint64)
+
+
+def shared_by_bins(found: DataFrame) -> DataFrame:
+    """The rows (h, bin) whose h another bin has too."""
+    same = Window.partitionBy("h")
+    return found.withColumn("_a", F.min("bin").over(same)).withColumn("_b", F.max("bin").over(same)).where("_a != _b").select("h", "bin")
+
+
+def extract(pages: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """page_id, host, text, n_tokens, n_covered of every page."""
     if window < 2:
         raise ValueError("a run has two tokens at least")
-    read = streams(pages)
-    covers = repeats(read, window, first_stays=False, salted=True).groupBy("key", "tid").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("cover"))
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts, total, gone = [], [], []
-                for text, cover in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    t = text.split()
-                    kept, here = [], 0
-                    for c in cover or ():
-                        kept += t[here : c["start"]]
-                        here = c["stop"]
-                    kept += t[here:]
-                    texts.append(text_of(kept))
-                    total.append(len(t))
-                    gone.append(len(t) - len(kept))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], ["key", "host", "text", "n_tokens", "n_covered"])
-
-    joined = read.join(covers, ["key", "tid"], "left").select("key", "salt", "text", "cover")
-    out = joined.mapInArrow(keep, "key long, host string, text string, n_tokens long, n_covered long")
+    rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NULL_KEY)).alias("key"), host_of(F.col("url")).alias("host"), "html")
+    hosts = written(rows.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("n")), "hosts")
+    bins = max(1, math.ceil((hosts.agg(F.sum("n")).first()[0] or 0) / group_bytes))
+    large = hosts.where(F.col("n") > group_bytes).select("host", F.ceil(F.col("n") / group_bytes).cast("int").alias("parts"))
+    split = large.count()
+    if split:
+        rows = rows.join(F.broadcast(large) if split <= BROADCAST_HOSTS else large, "host", "left")
+    else:
+        rows = rows.withColumn("parts", F.lit(1))
+    rows = rows.withColumn("parts", F.coalesce("parts", F.lit(1)))
+    part = F.pmod(F.xxhash64("key"), F.col("parts"))
+    read = streams(rows.withColumn("bin", F.pmod(F.xxhash64("host", part), F.lit(bins)).cast("int"))).groupBy("bin")
+
+    def emit(values: np.ndarray, key: tuple) -> pa.Table:
+        values = np.unique(values)
+        return pa.table({"h": pa.array(values.view(np.int64), pa.int64()), "bin": pa.array(np.full(len(values), key[0].as_py()), pa.int32())})
+
+    def minimizers(key: tuple, table: pa.Table) -> pa.Table:
+        return emit(Bin(table, window, True).anchor, key)
+
+    def candidates(key: tuple, table: pa.Table, asked: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return emit(np.zeros(0, np.uint64), key)
+        here = Bin(table, window, True)
+        return emit(here.windows()[np.isin(here.anchor, hashes(asked))], key)
+
+    def keep(key: tuple, table: pa.Table, foreign: np.ndarray) -> pa.Table:
+        here = Bin(table, window, False)
+        gone = here.cover(foreign)
+        first = here.words.first
+        total = np.diff(first)
+        before = np.concatenate([[0], np.cumsum(gone)])
+        kept = [text_of(list(itertools.compress(t.split(), ~gone[a:b]))) for t, a, b in zip(here.texts, first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        return pa.table({"key": pa.array(here.key, pa.int64()), "host": pa.array(here.host, pa.string()), "text": pa.array(kept, pa.string()), "n_tokens": pa.array(total, pa.int64()), "n_covered": pa.array(before[first[1:]] - before[first[:-1]], pa.int64())})
+
+    schema = "key long, host string, text string, n_tokens long, n_covered long"
+    if split:
+        # all three passes read the streams from one exchange
+        asked = shared_by_bins(read.applyInArrow(minimizers, "h long, bin int"))
+        foreign = shared_by_bins(read.cogroup(asked.groupBy("bin")).applyInArrow(candidates, "h long, bin int"))
+        out = read.cogroup(foreign.groupBy("bin")).applyInArrow(lambda key, table, found: keep(key, table, hashes(found)), schema)
+    else:
+        out = read.applyInArrow(lambda key, table: keep(key, table, np.zeros(0, np.uint64)), schema)
     return out.select(F.when(F.col("key") != NULL_KEY, F.col("key")).alias("page_id"), "host", "text", "n_tokens", "n_covered")
 
 

@@ -1,4 +1,4 @@
-"""Repeated word runs over a whole corpus, the machinery of operators 4 and 6.
+"""Repeated word runs over a whole corpus, the machinery of operator 6; operator 4 uses its parts within a host.
 
 1. Each text's words are hashed; a window of W words is represented by its leftmost least k-word gram, so equal windows have equal anchors at equal
    offsets. Anchors (a fraction 2 / (W - k + 2) of the words) are counted over the corpus; only those that recur go on. No window that recurs is lost.
@@ -30,11 +30,8 @@ def gram_length(window: int) -> int:
     return max(2, window * 2 // 5)
 
 
-def anchors(words: tokens.Words, window: int, salt: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, anchors): the start of each whole window that has an anchor, and the place of that anchor; and the grams' hashes by place.
-
-    salt: a number for each text; equal windows of texts with different salts have different anchors.
-    """
+def anchors(words: tokens.Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, anchors): the start of each whole window that has an anchor, and the place of that anchor; and the grams' hashes by place."""
     k = gram_length(window)
     h = words.hashes
     grams = tokens.runs(h, k)
@@ -43,8 +40,6 @@ def anchors(words: tokens.Words, window: int, salt: np.ndarray | None = None) ->
         return none, none, grams
     count = np.diff(words.first)
     text = np.repeat(np.arange(len(count)), count)
-    if salt is not None:
-        grams = tokens.mix(grams ^ salt[text[: len(grams)]])
     # grams of one word over and over come last
     same = np.zeros(len(h), np.int64)
     same[1:] = np.cumsum(h[1:] != h[:-1])
@@ -59,30 +54,36 @@ def anchors(words: tokens.Words, window: int, salt: np.ndarray | None = None) ->
     return starts[fits], best[fits], grams
 
 
-def _host_salt(column: pa.Array) -> np.ndarray:
-    return tokens.mix(np.array([hash_text(x) for x in column.to_pylist()], np.uint64))
-
-
-def hash_text(x: str | None) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(x or "", seed=1)
+def strips(words: tokens.Words, window: int, starts: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(place of the anchor, row, first word in the row, words) of each stretch of chosen windows that start side by side and share an anchor."""
+    cut = np.ones(len(best), bool)
+    cut[1:] = (best[1:] != best[:-1]) | (starts[1:] != starts[:-1] + 1)
+    lo = np.flatnonzero(cut)
+    hi = np.concatenate([lo[1:], [len(best)]]) if len(lo) else lo
+    begin, many = starts[lo], hi - lo
+    row = np.searchsorted(words.first, begin, "right") - 1
+    small = ((words.hashes >> np.uint64(33)) | np.uint64(1 << 31)).astype(np.uint32)
+    length = many + window - 1
+    ends = np.concatenate([[0], np.cumsum(length)])
+    take = np.arange(ends[-1]) - np.repeat(ends[:-1], length) + np.repeat(begin, length)
+    data = small[take]
+    binary = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(data)])
+    return best[lo], row, begin - words.first[row], binary
 
 
-def repeats(texts: DataFrame, window: int, first_stays: bool, salted: bool = False) -> DataFrame:
-    """Covered words (key, tid, start, stop) of texts(key long, tid long, text[, salt string]).
+def repeats(texts: DataFrame, window: int, first_stays: bool) -> DataFrame:
+    """Covered words (key, tid, start, stop) of texts(key long, tid long, text).
 
     first_stays: a window is covered iff the same window starts at a lesser (key, tid, place); otherwise iff it occurs under two keys.
-    salted: windows are the same only where ``salt`` is the same too.
     """
-    columns = ["key", "tid", "text"] + (["salt"] if salted else [])
+    columns = ["key", "tid", "text"]
     texts = texts.select(*columns)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in tokens.slices(whole, 2):
                 words = tokens.words(batch.column(2))
-                _, best, grams = anchors(words, window, _host_salt(batch.column(3)) if salted else None)
+                _, best, grams = anchors(words, window)
                 at = best[np.concatenate([[True], best[1:] != best[:-1]])] if len(best) else best
                 row = np.searchsorted(words.first, at, "right") - 1
                 yield pa.RecordBatch.from_arrays(
@@ -90,7 +91,7 @@ def repeats(texts: DataFrame, window: int, first_stays: bool, salted: bool = Fal
                     ["anchor", "key", "place"],
                 )
 
-    def strips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in tokens.slices(whole, 2):
                 yield cut_strips(batch)
@@ -98,7 +99,7 @@ def repeats(texts: DataFrame, window: int, first_stays: bool, salted: bool = Fal
     def cut_strips(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = tokens.words(batch.column(2))
         places = batch.column(batch.num_columns - 1)
-        starts, best, grams = anchors(words, window, _host_salt(batch.column(3)) if salted else None)
+        starts, best, grams = anchors(words, window)
         n = np.diff(np.asarray(places.offsets))
         wanted = places.flatten().to_numpy() + np.repeat(words.first[:-1], n)
         limit = np.repeat(words.first[1:], n)
@@ -106,22 +107,10 @@ def repeats(texts: DataFrame, window: int, first_stays: bool, salted: bool = Fal
         keep[wanted[wanted < limit]] = True
         chosen = keep[best]
         starts, best = starts[chosen], best[chosen]
-        # an anchor's windows start at consecutive places
-        cut = np.ones(len(best), bool)
-        cut[1:] = (best[1:] != best[:-1]) | (starts[1:] != starts[:-1] + 1)
-        lo = np.flatnonzero(cut)
-        hi = np.concatenate([lo[1:], [len(best)]]) if len(lo) else lo
-        begin, many = starts[lo], hi - lo
-        row = np.searchsorted(words.first, begin, "right") - 1
-        small = ((words.hashes >> np.uint64(33)) | np.uint64(1 << 31)).astype(np.uint32)
-        length = many + window - 1
-        ends = np.concatenate([[0], np.cumsum(length)])
-        take = np.arange(ends[-1]) - np.repeat(ends[:-1], length) + np.repeat(begin, length)
-        data = small[take]
-        binary = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(data)])
+        at, row, begin, binary = strips(words, window, starts, best)
         pick = pa.array(row)
         return pa.RecordBatch.from_arrays(
-            [pa.array(grams[best[lo]].view(np.int64)) if len(lo) else pa.array([], pa.int64()), batch.column(0).take(pick), batch.column(1).take(pick), pa.array((begin - words.first[row]).astype(np.int32)), binary],
+            [pa.array(grams[at].view(np.int64)), batch.column(0).take(pick), batch.column(1).take(pick), pa.array(begin.astype(np.int32)), binary],
             ["anchor", "key", "tid", "start", "words"],
         )
 
@@ -151,8 +140,8 @@ def repeats(texts: DataFrame, window: int, first_stays: bool, salted: bool = Fal
     found = texts.mapInArrow(find, "anchor long, key long, place int")
     again = found.withColumn("_n", F.count("*").over(Window.partitionBy("anchor"))).where("_n > 1")
     places = again.groupBy("key").agg(F.collect_list("place").alias("places"))
-    cut = texts.join(places, "key").select(*columns, "places").mapInArrow(strips, "anchor long, key long, tid long, start int, words binary")
-    blocks = cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(sort_blocks, "key long, tid long, start int, stop int")
+    stretches = texts.join(places, "key").select(*columns, "places").mapInArrow(cut, "anchor long, key long, tid long, start int, words binary")
+    blocks = stretches.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(sort_blocks, "key long, tid long, start int, stop int")
     # overlapping and touching stretches of a text become one
     order = Window.partitionBy("key", "tid").orderBy("start", "stop")
     reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))

@@ -390,13 +390,15 @@ def test_rules(spark):
     assert any("spam" in u for i, u in pages if i in {r["page_id"] for r in out if r["blocked"]})
 
 
-def test_boilerplate(spark, sf):
+@pytest.mark.parametrize("group_bytes", [32 << 20, 20_000, 2_000])
+def test_boilerplate(spark, sf, group_bytes):
     rows = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()][:120]
     nav = "<nav><ul>" + "".join(f"<li><a href='/{x}'>{x}</a></li>" for x in ("home", "news", "about")) + "</ul></nav>"
     rows += [(5000 + i, "https://one.example/p", f"<html><body>{nav}<p>unique {i} words of page {i * 7} only</p><footer>same foot here</footer></body></html>") for i in range(6)]
+    rows += [(5100, "https://two.example/p", rows[-1][2]), (5101, "https://two.example/q", "a\x01b \x1c c " * 20), (5102, "https://two.example/q", "a\x01b \x1c c " * 20)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     window = 8
-    got = {r["page_id"]: r for r in host_suffixes.extract(df, window).collect()}
+    got = {r["page_id"]: r for r in host_suffixes.extract(df, window, group_bytes).collect()}
     streams = {i: host_suffixes.stream(h).split() for i, _, h in rows}
     host = {i: got[i]["host"] for i, _, _ in rows}
     seen: dict = {}
@@ -411,7 +413,8 @@ def test_boilerplate(spark, sf):
                 gone.update(range(p, p + window))
         kept = [w for p, w in enumerate(t) if p not in gone]
         assert got[i]["text"] == host_suffixes.text_of(kept) and got[i]["n_covered"] == len(gone)
-    assert "home" not in got[5001]["text"] and "unique 1 words of page 7 only" in got[5001]["text"]
+    # "unique" and "only" stand beside the navigation on every page, so that runs with them recur
+    assert got[5001]["text"] == "1 words of page 7"
 
 
 def test_gradients_and_single_scoring():
