@@ -29,6 +29,7 @@ from needlework.llm.scratch import load, shared_path, written
 
 BUCKET_BYTES = 64 << 20
 FILE_BYTES = 16 << 20
+MOST_TASKS = 50_000
 DATE = "2024-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("3d3c1f0e-5d1a-4a4e-9a53-6f1d5a1f7a10")
 MANIFEST = "page_id long, url string, file string, record long, offset long, length long, payload_digest string, block_digest string"
@@ -168,8 +169,8 @@ def write(pages: DataFrame, folder: str, bucket_bytes: int = BUCKET_BYTES, file_
 
         for batch in batches:
             keys = zip(batch.column(3).to_pylist(), batch.column(0).to_pylist(), batch.column(4).to_pylist(), strict=True)
-            at = [ids[bisect.bisect_right(bounds.value, sortable(*k)) - 1] for k in keys]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], [*batch.schema.names, "bucket"])
+            at = [bisect.bisect_right(bounds.value, sortable(*k)) - 1 for k in keys]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([ids[i] for i in at], pa.int64()), pa.array(at, pa.int32())], [*batch.schema.names, "bucket", "_at"])
 
     def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller = None
@@ -188,8 +189,9 @@ def write(pages: DataFrame, folder: str, bucket_bytes: int = BUCKET_BYTES, file_
         if roller is not None:
             roller.end()
 
-    marked = rows.mapInArrow(place, "page_id long, url string, html string, _key string, _hash long, bucket long")
-    files = marked.repartition("bucket").sortWithinPartitions("bucket", *order).mapInArrow(roll, MANIFEST)
+    marked = rows.mapInArrow(place, "page_id long, url string, html string, _key string, _hash long, bucket long, _at int")
+    # a bucket a task: hashed buckets would meet in some tasks and leave others idle
+    files = marked.repartitionById(max(1, min(len(ids), MOST_TASKS)), "_at").sortWithinPartitions("bucket", *order).mapInArrow(roll, MANIFEST)
     manifest = written(files, "manifest")
     commit(manifest, folder)
     return manifest
