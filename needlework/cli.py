@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from needlework.functions.bytes import MODES, TEXT, lossy
 from needlework.operators import access, search, stats
 from needlework.sources import config, corpus
-from needlework.sources.index import build, open_index
+from needlework.sources.index import build, keep_suffixes, open_index
 
 
 def parser() -> argparse.ArgumentParser:
@@ -25,6 +25,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--output", required=True)
         p.add_argument("--sample-rate", type=int, default=32)
         p.add_argument("--encoding", choices=MODES, default=TEXT)
+        p.add_argument("--suffixes", action="store_true", help="keep the suffix order too")
     p = verbs.add_parser("ingest")
     p.add_argument("--input", action="append", dest="inputs")
     p.add_argument("--output")
@@ -57,6 +58,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     if got.verb in ("build", "build-multi"):
         paths = [got.input] if got.verb == "build" else got.input
         build(corpus.read_files(spark, paths, got.encoding), got.output, None, got.encoding, got.sample_rate)
+        if got.suffixes:
+            keep_suffixes(spark, got.output)
     elif got.verb == "ingest":
         flags = {k: getattr(got, k) for k in ("inputs", "output", "chunk_size", "read_buffer", "workers", "sample_rate", "encoding")}
         options = config.merged(config.load(got.config) if got.config else None, flags)

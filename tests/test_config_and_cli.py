@@ -6,6 +6,7 @@ import pytest
 
 from needlework import cli
 from needlework.functions.bytes import InvalidInput, format_bytes
+from needlework.operators import suffix
 from needlework.sources import config, corpus
 
 
@@ -59,7 +60,11 @@ def test_verbs(spark, tmp_path, capsys):
     run("build", tmp_path / "one.txt", "--output", tmp_path / "single")
     assert json.loads(run("query", tmp_path / "single", "fast"))["count"] == 1
     assert run("extract", tmp_path / "single", 3, 4).strip() == "defg"
-    run("build-multi", tmp_path / "two.txt", tmp_path / "one.txt", "--output", tmp_path / "multi")
+    run("build-multi", tmp_path / "two.txt", tmp_path / "one.txt", "--output", tmp_path / "multi", "--suffixes")
+    made = cli.open_index(spark, str(tmp_path / "multi"))
+    interval = suffix.intervals(made.segments, made.suffixes, {"fast": b"fast"}).first()
+    assert interval["ep"] - interval["sp"] == 2 and made.suffixes.count() == 29
+    assert cli.open_index(spark, str(tmp_path / "single")).suffixes is None
     got = json.loads(run("query", tmp_path / "multi", "fast"))
     assert got["count"] == 3 and got["preview"][0] == [0, 0]
     assert json.loads(run("query", tmp_path / "multi", "tab"))["count"] == 1
