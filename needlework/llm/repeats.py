@@ -71,11 +71,8 @@ def strips(words: tokens.Words, window: int, starts: np.ndarray, best: np.ndarra
     return best[lo], row, begin - words.first[row], binary
 
 
-def repeats(texts: DataFrame, window: int, first_stays: bool) -> DataFrame:
-    """Covered words (key, tid, start, stop) of texts(key long, tid long, text).
-
-    first_stays: a window is covered iff the same window starts at a lesser (key, tid, place); otherwise iff it occurs under two keys.
-    """
+def repeats(texts: DataFrame, window: int) -> DataFrame:
+    """Covered words (key, tid, start, stop) of texts(key long, tid long, text): a window is covered iff the same window starts at a lesser (key, tid, place)."""
     columns = ["key", "tid", "text"]
     texts = texts.select(*columns)
 
@@ -115,27 +112,30 @@ def repeats(texts: DataFrame, window: int, first_stays: bool) -> DataFrame:
         )
 
     def sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come ordered by anchor; a block is made of whole anchors."""
+        """Rows come ordered by anchor; a block is made of whole anchors. Of equal strips of one anchor the first is kept: memory follows the different ones."""
         held: list[pa.RecordBatch] = []
-        size = 0
+        size, limit = 0, BLOCK_TOKENS
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
             size += batch.column(4).nbytes // 4
-            if size > BLOCK_TOKENS:
+            if size > limit:
                 table = pa.Table.from_batches(held).combine_chunks()
                 anchor = table.column(0).to_numpy()
                 last = int(np.searchsorted(anchor, anchor[-1]))
                 if last:
                     yield from sort_block(table.slice(0, last))
-                    held = table.slice(last).combine_chunks().to_batches()
-                    size = sum(b.column(4).nbytes // 4 for b in held)
+                copies, table = collapse(table.slice(last).combine_chunks())
+                yield copies
+                held = table.combine_chunks().to_batches()
+                size = sum(b.column(4).nbytes // 4 for b in held)
+                limit = max(BLOCK_TOKENS, 2 * size)
         if held:
             yield from sort_block(pa.Table.from_batches(held))
 
     def sort_block(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        yield covered(table, window, first_stays)
+        yield covered(table, window, first_stays=True)
 
     found = texts.mapInArrow(find, "anchor long, key long, place int")
     again = found.withColumn("_n", F.count("*").over(Window.partitionBy("anchor"))).where("_n > 1")
@@ -149,8 +149,9 @@ def repeats(texts: DataFrame, window: int, first_stays: bool) -> DataFrame:
     return fresh.groupBy("key", "tid", "_g").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_g")
 
 
-def covered(table: pa.Table, window: int, first_stays: bool) -> pa.RecordBatch:
-    """Stretches (key, tid, start, stop) of the strips of one block that are covered by repeated windows."""
+def by_text(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """key, tid, start, words and their offsets of a table of strips; its rows with equal strips side by side, the first by (key, tid, start) ahead; whether a row
+    is such a copy of the one before. Of the same row given twice one is left."""
     table = table.combine_chunks()
     key, tid, start = (table.column(c).to_numpy() for c in ("key", "tid", "start"))
     column = table.column("words")
@@ -158,8 +159,6 @@ def covered(table: pa.Table, window: int, first_stays: bool) -> pa.RecordBatch:
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint32)
     offsets = (offsets - offsets[0]) // 4
-    length = np.diff(offsets)
-    # the same rows given twice are one; equal strips are sorted once
     h = strip_hashes(data, offsets)
     by = np.lexsort((start, tid, key, h))
     same_text = np.zeros(len(by), bool)
@@ -167,7 +166,26 @@ def covered(table: pa.Table, window: int, first_stays: bool) -> pa.RecordBatch:
     twin = same_text.copy()
     for x in (key, tid, start):
         twin[1:] &= x[by][1:] == x[by][:-1]
-    by, same_text = by[~twin], same_text[~twin]
+    return key, tid, start, data, offsets, by[~twin], same_text[~twin]
+
+
+def collapse(table: pa.Table) -> tuple[pa.RecordBatch, pa.Table]:
+    """(covered stretches, rows left) of the strips of one anchor: every strip but the first of equal ones is covered whole."""
+    key, tid, start, _, offsets, by, same = by_text(table)
+    at = by[same]
+    stop = start[at].astype(np.int64) + np.diff(offsets)[at]
+    gone = pa.RecordBatch.from_arrays([pa.array(key[at], pa.int64()), pa.array(tid[at], pa.int64()), pa.array(start[at].astype(np.int32)), pa.array(stop.astype(np.int32))], ["key", "tid", "start", "stop"])
+    return gone, table.take(pa.array(np.sort(by[~same])))
+
+
+def covered(table: pa.Table, window: int, first_stays: bool) -> pa.RecordBatch:
+    """Stretches (key, tid, start, stop) of the strips of one block that are covered by repeated windows.
+
+    first_stays: a window is covered iff the same window starts at a lesser (key, tid, place); otherwise iff it occurs under two keys.
+    """
+    # equal strips are sorted once
+    key, tid, start, data, offsets, by, same_text = by_text(table)
+    length = np.diff(offsets)
     lead = np.flatnonzero(~same_text)
     rep = by[lead]
     group = np.cumsum(~same_text) - 1

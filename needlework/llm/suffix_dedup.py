@@ -25,7 +25,7 @@ def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Covered stretches: doc_id, start_word, end_word (exclusive), and the text's hash as tid."""
     if window < 2:
         raise ValueError("a passage has two words at least")
-    return repeats(keyed(docs).select("key", "tid", "text"), window, first_stays=True)
+    return repeats(keyed(docs).select("key", "tid", "text"), window)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
