@@ -6,10 +6,11 @@ binary mode bytes are one higher, so that zero bytes differ from it.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -56,6 +57,36 @@ def suffixes(segments: DataFrame, mode: str = TEXT) -> DataFrame:
     return segments.select("shard_id", "shard_offset", "content").groupBy("shard_id").applyInPandas(sort, SUFFIXES)
 
 
+def by_shard(segments: DataFrame, columns: Callable[[bytes, np.ndarray, np.ndarray], dict[str, np.ndarray]], schema: str, mode: str = TEXT) -> DataFrame:
+    """shard_id and ``columns(text, symbols, suffix array)`` of every shard, all in the task that sorts it: only the content is shuffled, not its suffix table."""
+
+    def run(table: pa.Table) -> pa.Table:
+        text = b"".join(table.sort_by("shard_offset").column("content").to_pylist())
+        x = symbols(text, mode)
+        made = columns(text, x, suffix_array(x))
+        n = len(next(iter(made.values())))
+        shard = np.full(n, table.column("shard_id")[0].as_py(), np.int32)
+        return pa.table({"shard_id": shard} | made)
+
+    return segments.select("shard_id", "shard_offset", "content").groupBy("shard_id").applyInArrow(run, f"shard_id int, {schema}")
+
+
+def suffixes_by_shard(segments: DataFrame, mode: str = TEXT) -> DataFrame:
+    """The same table as ``suffixes``."""
+    return by_shard(segments, lambda _, x, sa: {"row": np.arange(len(sa)), "sa": sa, "bwt": x[sa - 1].astype(np.int32)}, "row long, sa long, bwt int", mode)
+
+
+def lf_by_shard(segments: DataFrame, mode: str = TEXT) -> DataFrame:
+    """The same table as ``lf_steps`` gives."""
+
+    def steps(_: bytes, x: np.ndarray, sa: np.ndarray) -> dict[str, np.ndarray]:
+        lf = np.empty(len(sa), np.int64)
+        lf[np.argsort(x[sa - 1], kind="stable")] = np.arange(len(sa))
+        return {"row": np.arange(len(sa)), "lf": lf}
+
+    return by_shard(segments, steps, "row long, lf long", mode)
+
+
 def c_tables(table: DataFrame) -> DataFrame:
     """(shard_id, symbol, cnt, c_start) of the suffix table; the end mark counts."""
     counts = table.groupBy("shard_id", F.col("bwt").alias("symbol")).agg(F.count("*").alias("cnt"))
@@ -90,6 +121,25 @@ def inverse(table: DataFrame, places: Iterable[int]) -> DataFrame:
     return table.where(F.col("sa").isin(list(places))).select("shard_id", "sa", "row")
 
 
+def interval(text: bytes, sa: np.ndarray, raw: bytes) -> tuple[int, int]:
+    """(sp, ep) of a pattern by binary search; (1, 0) where there is none, all rows for the empty pattern."""
+    m = len(raw)
+
+    def bound(after: bool) -> int:
+        lo, hi = 0, len(sa)
+        while lo < hi:
+            mid = (lo + hi) // 2
+            head = text[sa[mid] : sa[mid] + m]
+            if head < raw or (after and head == raw):
+                lo = mid + 1
+            else:
+                hi = mid
+        return lo
+
+    sp, ep = (0, len(sa) - 1) if not m else (bound(False), bound(True) - 1)
+    return (sp, ep) if sp <= ep else (1, 0)
+
+
 def intervals(segments: DataFrame, table: DataFrame, patterns: dict[str, bytes | str], mode: str = TEXT) -> DataFrame:
     """(shard_id, pattern, sp, ep) of each pattern in each shard by binary search over its suffixes; (1, 0) where there is none, all rows for the empty pattern."""
     raws = {name: pattern_bytes(p, mode) for name, p in patterns.items()}
@@ -98,29 +148,24 @@ def intervals(segments: DataFrame, table: DataFrame, patterns: dict[str, bytes |
         text = b"".join(bytes(c) for c in texts.sort_values("shard_offset", kind="stable")["content"])
         sa = sorted_.sort_values("row")["sa"].to_numpy()
         shard = int(texts["shard_id"].iloc[0])
-        out = []
-        for name, raw in raws.items():
-            m = len(raw)
-
-            def bound(after: bool) -> int:
-                lo, hi = 0, len(sa)
-                while lo < hi:
-                    mid = (lo + hi) // 2
-                    head = text[sa[mid] : sa[mid] + m]
-                    if head < raw or (after and head == raw):
-                        lo = mid + 1
-                    else:
-                        hi = mid
-                return lo
-
-            sp, ep = (0, len(sa) - 1) if not m else (bound(False), bound(True) - 1)
-            out.append((shard, name, sp, ep) if sp <= ep else (shard, name, 1, 0))
+        out = [(shard, name, *interval(text, sa, raw)) for name, raw in raws.items()]
         return pd.DataFrame(out, columns=["shard_id", "pattern", "sp", "ep"])
 
     texts = segments.select("shard_id", "shard_offset", "content").groupBy("shard_id")
     return texts.cogroup(table.groupBy("shard_id")).applyInPandas(search, "shard_id int, pattern string, sp long, ep long")
 
 
+def intervals_by_shard(segments: DataFrame, patterns: dict[str, bytes | str], mode: str = TEXT) -> DataFrame:
+    """The same table as ``intervals``, where no suffix table is kept."""
+    raws = {name: pattern_bytes(p, mode) for name, p in patterns.items()}
+
+    def search(text: bytes, _: np.ndarray, sa: np.ndarray) -> dict[str, np.ndarray]:
+        sp, ep = np.array([interval(text, sa, raw) for raw in raws.values()], np.int64).reshape(-1, 2).T
+        return {"pattern": np.array(list(raws), object), "sp": sp, "ep": ep}
+
+    return by_shard(segments, search, "pattern string, sp long, ep long", mode)
+
+
 def suffix_array_joins(docs: DataFrame) -> DataFrame:
     """(doc_id, row, sa) of each document's suffixes by prefix doubling in DataFrames, for texts beyond one task; each round is checkpointed."""
     hexed = docs.select("doc_id", F.hex("content").alias("h"))
