@@ -87,6 +87,31 @@ def lf_by_shard(segments: DataFrame, mode: str = TEXT) -> DataFrame:
     return by_shard(segments, steps, "row long, lf long", mode)
 
 
+def ranks_by_shard(segments: DataFrame, mode: str = TEXT) -> DataFrame:
+    """(shard_id, symbol, row, n): ranks of every symbol at every row, listed where they grow: symbol occurs n times in the first ``row`` rows' bwt, and as often up to its next row listed (0 before its first)."""
+
+    def grown(_: bytes, x: np.ndarray, sa: np.ndarray) -> dict[str, np.ndarray]:
+        bwt = x[sa - 1]
+        by = np.argsort(bwt, kind="stable")
+        symbol = bwt[by]
+        return {"symbol": symbol, "row": by + 1, "n": np.arange(len(by)) - np.searchsorted(symbol, symbol) + 1}
+
+    return by_shard(segments, grown, "symbol long, row long, n long", mode)
+
+
+def resolved_by_shard(segments: DataFrame, mode: str = TEXT) -> DataFrame:
+    """(shard_id, kind, asked, found): the position of every row (sa) and the row of every position (isa)."""
+
+    def both(_: bytes, x: np.ndarray, sa: np.ndarray) -> dict[str, np.ndarray]:
+        n = len(sa)
+        every = np.arange(n)
+        inverse = np.empty(n, np.int64)
+        inverse[sa] = every
+        return {"kind": np.repeat(np.array(["sa", "isa"], object), n), "asked": np.tile(every, 2), "found": np.concatenate([sa, inverse])}
+
+    return by_shard(segments, both, "kind string, asked long, found long", mode)
+
+
 def c_tables(table: DataFrame) -> DataFrame:
     """(shard_id, symbol, cnt, c_start) of the suffix table; the end mark counts."""
     counts = table.groupBy("shard_id", F.col("bwt").alias("symbol")).agg(F.count("*").alias("cnt"))

@@ -223,6 +223,16 @@ def resolve_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.union(places).select(F.col("shard_id").cast("long").alias("item_id"), "kind", "asked", "found")
 
 
+def rank_every_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks of all symbols at all rows, listed where they grow."""
+    return suffix.ranks_by_shard(small(spark, sf_dir)).select(F.col("shard_id").cast("long").alias("item_id"), "symbol", "row", "n")
+
+
+def resolve_every_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all rows and rows of all places."""
+    return suffix.resolved_by_shard(small(spark, sf_dir)).select(F.col("shard_id").cast("long").alias("item_id"), "kind", "asked", "found")
+
+
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.index_stats(parts(spark, sf_dir))
 
@@ -278,6 +288,8 @@ QUERIES = {
         interval_sp_ep,
         rank_small,
         resolve_small,
+        rank_every_small,
+        resolve_every_small,
         index_stats,
         ingest_totals,
         shard_sizes,

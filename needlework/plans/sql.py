@@ -139,6 +139,8 @@ n AS (SELECT item_id, pattern, count(*) FILTER (WHERE s < hex(encode(pattern)))
 SELECT item_id, pattern, CAST(CASE WHEN hits = 0 THEN 1 ELSE below END AS BIGINT) AS sp, CAST(CASE WHEN hits = 0 THEN 0 ELSE below + hits - 1 END AS BIGINT) AS ep FROM n""",
     "rank_small": f"WITH {SUFFIX} SELECT item_id, count(*) FILTER (WHERE bwt = 101 AND row < 50) AS n FROM bwt GROUP BY item_id",
     "resolve_small": f"WITH {SUFFIX} SELECT item_id, 'sa' AS kind, row AS asked, sa AS found FROM sorted WHERE row IN (0, 32, 64) UNION ALL SELECT item_id, 'isa', sa, row FROM sorted WHERE sa IN (0, 32, 64)",
+    "rank_every_small": f"WITH {SUFFIX} SELECT item_id, bwt AS symbol, row + 1 AS row, count(*) OVER (PARTITION BY item_id, bwt ORDER BY row) AS n FROM bwt",
+    "resolve_every_small": f"WITH {SUFFIX} SELECT item_id, 'sa' AS kind, row AS asked, sa AS found FROM sorted UNION ALL SELECT item_id, 'isa', sa, row FROM sorted",
     "index_stats": recursive(fold(CHUNK), "SELECT shard_id, CAST(sum(len) + 1 AS BIGINT) AS text_len, count(DISTINCT doc_id) AS n_docs, count(*) AS n_segments, CAST(ceil((sum(len) + 1) / 32) AS BIGINT) AS n_samples FROM seg GROUP BY shard_id"),
     "ingest_totals": recursive(
         fold(CHUNK),

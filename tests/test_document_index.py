@@ -66,6 +66,23 @@ def test_intervals_of_documents(spark, made, small_shards):
     assert rows("interval_documents", spark, folder) == want
 
 
+def test_ranks_and_places_of_documents(spark, made, small_shards):
+    """Every symbol at every row, and every row and position."""
+    folder, texts = made
+    grown: dict = {}
+    for s, symbol, row, n in rows("rank_documents", spark, folder):
+        grown.setdefault((s, symbol), []).append((row, n))
+    want = set()
+    for s, t in texts.items():
+        sa = order(t)
+        bwt = [before(t, i) for i in sa]
+        for symbol in range(256):
+            for row in range(len(bwt) + 1):
+                assert max((n for at, n in grown.get((s, symbol), []) if at <= row), default=0) == bwt[:row].count(symbol)
+        want |= {(s, "sa", row, i) for row, i in enumerate(sa)} | {(s, "isa", i, row) for row, i in enumerate(sa)}
+    assert rows("resolve_documents", spark, folder) == want
+
+
 def test_whole_table(spark, sf):
     """Every shard of 64 kB of the table, each suffix in order after the one before."""
     texts: dict = {}
