@@ -466,6 +466,46 @@ def test_held_out(spark, sf):
     assert mean < -np.log(p[ids]).mean() - 0.5
 
 
+def test_held_out_as_in_production(spark, sf):
+    """With the share that op8_attention_lm trains on, which is every document."""
+    coded = attention_lm.encoded(spark.read.parquet(f"{sf}/documents.parquet")).cache()
+    train, held = coded.where("doc_id % 4 != 0"), coded.where("doc_id % 4 = 0")
+    counts = attention_lm.counted(train)
+    classes = attention_lm.Classes(counts)
+    rows = attention_lm.scored(held, attention_lm.fit(train, classes, rounds=2, replica_tokens=40_000), classes).collect()
+    mean = sum(r["nll"] for r in rows) / sum(r["n_tokens"] for r in rows)
+    ids = np.concatenate(attention_lm.unpack(pa.array([bytes(r["ids"]) for r in held.collect()])))
+    p = (counts + 1) / (counts + 1).sum()
+    assert mean < -np.log(p[ids]).mean() - 0.5
+
+
+@pytest.mark.parametrize("share", [attention_lm.SHARE, 1 / (1 << 20)])
+def test_training_on_few_documents(spark, share):
+    """No document is scored by weights that were never trained, and every replica counts by its tokens."""
+    rng = random.Random(13)
+    coded = attention_lm.encoded(spark.createDataFrame([(i, prose(rng, 40)) for i in range(6)], "doc_id long, text string")).cache()
+    classes = attention_lm.Classes(attention_lm.counted(coded))
+    begun = attention_lm.start(classes)
+    for replica_tokens in (1 << 18, 100):
+        model = attention_lm.fit(coded, classes, share=share, rounds=1, replica_tokens=replica_tokens)
+        assert all(np.isfinite(x).all() for x in model.values())
+        assert not np.array_equal(attention_lm.flat(model), attention_lm.flat(begun))
+    # one round of several replicas is the mean of their weights by tokens
+    rows = [(r["doc_id"], bytes(r["ids"])) for r in coded.collect()]
+    tokens = sum(len(x) // 2 for _, x in rows)
+    replicas = math.ceil(tokens / 100)
+    named = coded.selectExpr("doc_id", f"pmod(xxhash64(ids, doc_id), {replicas}) AS replica").collect()
+    want, total = np.zeros(len(attention_lm.flat(begun))), 0
+    for k in {r["replica"] for r in named}:
+        own = sorted(x for x in rows if x[0] in {r["doc_id"] for r in named if r["replica"] == k})
+        ids = [np.frombuffer(x, np.uint16) for _, x in own]
+        n = sum(map(len, ids))
+        want += n * attention_lm.flat(attention_lm.train(begun, ids, classes)[0]).astype(np.float64)
+        total += n
+    assert total == tokens and replicas > 2
+    assert np.allclose(attention_lm.flat(model), want / total, atol=1e-5)
+
+
 def test_pipeline(spark, corpus, tmp_path):
     docs, items = corpus
     rng = random.Random(12)
