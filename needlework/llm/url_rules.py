@@ -69,7 +69,8 @@ def mine(pages: DataFrame, labels: DataFrame, support: int = SUPPORT, confidence
         return spark.createDataFrame([], schema)
     base = total["bad"] / total["n"]
     items = baskets.select(F.when(F.col("_bad") == 1, F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, support / total["n"]), minConfidence=confidence).fit(items)
+    # FPGrowth multiplies by the count and rounds up: half a basket less gives support itself, whatever the floating point does
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (support - 0.5) / total["n"]), minConfidence=confidence).fit(items)
     found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD))
     tokens = F.array_sort("antecedent")
     rules = found.select(

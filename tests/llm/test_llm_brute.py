@@ -390,6 +390,16 @@ def test_rules(spark):
     assert any("spam" in u for i, u in pages if i in {r["page_id"] for r in out if r["blocked"]})
 
 
+@pytest.mark.parametrize("total", [147, 148])
+def test_rules_of_least_support(spark, total):
+    """20 / 147 * 147 is more than 20 in floating point; a rule of just the support is found all the same."""
+    pages = [(i, f"http://{'spam' if i < 20 else 'plain'}.example.org/{i}") for i in range(total)]
+    labels = [(i, int(i >= 20), 0) for i in range(total)]
+    df, known = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert {(tuple(r["tokens"]), r["support"]) for r in url_rules.mine(df, known, support=20).collect()} == {(("host:spam",), 20)}
+    assert url_rules.mine(df, known, support=21).count() == 0
+
+
 @pytest.mark.parametrize("group_bytes", [32 << 20, 20_000, 2_000])
 def test_boilerplate(spark, sf, group_bytes):
     rows = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()][:120]
