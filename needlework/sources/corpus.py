@@ -10,10 +10,12 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from needlework.functions.bytes import TEXT, InvalidInput, checked
 
 SCHEMA = "doc_id long, source_path string, content binary, len long"
+LISTED = "doc_id long, path string, size long"
 
 
 def from_table(df: DataFrame, text: str = "text", doc_id: str = "doc_id", mode: str = TEXT) -> DataFrame:
@@ -78,15 +80,26 @@ def read_files(spark: SparkSession, paths: Sequence[str], mode: str = TEXT) -> D
     missing = [p for p in paths if not os.path.isfile(p)]
     if missing:
         raise FileNotFoundError(missing[0])
-    order = spark.createDataFrame([(i, "file:" + os.path.abspath(p)) for i, p in enumerate(paths)], "doc_id long, path string")
+    order = spark.createDataFrame([(i, "file:" + os.path.abspath(p), os.path.getsize(p)) for i, p in enumerate(paths)], LISTED)
     return _contents(order, spark.read.format("binaryFile").load(sorted({os.path.abspath(p) for p in paths})), mode)
 
 
+def _read_hidden(path: str | None) -> bytes | None:
+    """A local file that Spark's reader skips; null for null."""
+    if path is None:
+        return None
+    if not path.startswith("file:"):
+        raise InvalidInput(f"Spark does not read {path}: names with _ or . in front are read from local folders only")
+    with open(path.removeprefix("file:"), "rb") as f:
+        return f.read()
+
+
 def _contents(order: DataFrame, files: DataFrame, mode: str) -> DataFrame:
-    """Contents for order(doc_id, path); Spark's reader skips files without bytes, which are documents all the same."""
+    """Contents for order(doc_id, path, size); Spark's reader skips files without bytes, and those with _ or . in front, which are documents all the same."""
     files = files.withColumn("path", F.regexp_replace("path", "^file:/*", "file:/"))
-    content = F.coalesce(F.col("content"), F.lit(b""))
-    return order.join(files, "path", "left").select("doc_id", F.regexp_replace("path", "^file:", "").alias("source_path"), checked(content, mode).alias("content"), F.coalesce("length", F.lit(0)).cast("long").alias("len"))
+    joined = order.join(files, "path", "left").withColumn("_skipped", F.udf(_read_hidden, BinaryType())(F.when(F.col("content").isNull() & (F.col("size") > 0), F.col("path"))))
+    content = F.coalesce(F.col("content"), F.col("_skipped"), F.lit(b""))
+    return joined.select("doc_id", F.regexp_replace("path", "^file:", "").alias("source_path"), checked(content, mode).alias("content"), F.octet_length(content).cast("long").alias("len"))
 
 
 def read_folder(spark: SparkSession, folder: str, name_glob: str = "*", recursive: bool = True, mode: str = TEXT) -> DataFrame:
@@ -95,10 +108,12 @@ def read_folder(spark: SparkSession, folder: str, name_glob: str = "*", recursiv
     listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, recursive)
     found = []
     while listed.hasNext():
-        at = listed.next().getPath()
+        status = listed.next()
+        at = status.getPath()
         if fnmatch.fnmatchcase(at.getName(), name_glob):
-            found.append(re.sub("^file:/*", "file:/", at.toString()))
+            found.append((re.sub("^file:/*", "file:/", at.toString()), status.getLen()))
     if not found:
         raise FileNotFoundError(f"{folder}/{name_glob}")
-    order = spark.createDataFrame(list(enumerate(sorted(found, key=os.fsencode))), "doc_id long, path string")
+    found.sort(key=lambda x: os.fsencode(x[0]))
+    order = spark.createDataFrame([(i, *x) for i, x in enumerate(found)], LISTED)
     return _contents(order, spark.read.format("binaryFile").option("pathGlobFilter", name_glob).option("recursiveFileLookup", recursive).load(folder), mode)
