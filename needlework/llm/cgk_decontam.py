@@ -4,7 +4,8 @@ Words are runs of letters and digits, lower-cased. A document is contaminated by
 ``floor(edits * L)`` word edits of the item.
 
 Windows of an item's size are taken wherever the document shares a gram of ``floor(L / (e + 1))`` words with the item, at the start that this alignment
-gives: e edits leave one of e + 1 equal parts of the item whole, so every contaminated stretch yields windows. Windows and items are embedded by ``WALKS`` random walks
+gives and at those up to e words before and after it: e edits leave one of e + 1 equal parts of the item whole and move it by e words at most, so every window within e
+edits is taken. Windows and items are embedded by ``WALKS`` random walks
 (each step emits the current word and a random bit of that word and step says whether to move on); a window goes on to verification iff it falls into the item's
 bucket in one of ``WALKS * TABLES`` tables, each keyed by ``SAMPLED`` sampled places of a walk. Verification is the exact edit distance.
 
@@ -106,7 +107,14 @@ class Items:
             i = item[entry]
             size = np.minimum(self.length[i], words.first[row + 1] - words.first[row])
             start = np.clip(place - offset[entry], words.first[row], words.first[row + 1] - size)
-            found.append(i * total + start)
+            # insertions and deletions before the gram move the window's start by as many words at most
+            i, start = np.divmod(np.unique(i * total + start), total)
+            row = np.searchsorted(words.first, start, "right") - 1
+            size = np.minimum(self.length[i], words.first[row + 1] - words.first[row])
+            many = 2 * self.most[i] + 1
+            shift = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many + self.most[i], many)
+            start = np.clip(np.repeat(start, many) + shift, np.repeat(words.first[row], many), np.repeat(words.first[row + 1] - size, many))
+            found.append(np.unique(np.repeat(i, many) * total + start))
         if not found:
             none = np.zeros(0, np.int64)
             return none, none, none

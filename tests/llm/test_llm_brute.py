@@ -255,6 +255,33 @@ def test_walk_recall():
     assert hit / total >= 0.95
 
 
+def test_windows_of_moved_items():
+    """Every window within the edits is looked at, whatever insertions and deletions stand before the words that it shares; most pass the walks."""
+    rng = random.Random(14)
+    items, texts = [], []
+    for _ in range(60):
+        x = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([10, 12, 15, 20]))]
+        n = int(0.2 * len(x)) // 2
+        y = list(x)
+        for _ in range(n):
+            y.insert(rng.randrange(len(y) // 2), f"i{rng.randrange(1000)}")
+            y.pop(rng.randrange(len(y) // 2, len(y)))
+        items.append(" ".join(x))
+        texts.append(prose(rng, 20, 3000) + " " + " ".join(y) + " " + prose(rng, 20, 3000))
+    bench = cgk_decontam.Items(list(range(len(items))), items, 0.2)
+    words = tokens.words(pa.array(texts, pa.string()), tokens.NOT_ALNUM)
+    item, start, size = bench.candidates(words)
+    taken = set(zip(item.tolist(), start.tolist()))
+    assert len(taken) == len(item)
+    for j, (x, t) in enumerate(zip(items, texts)):
+        x, w = x.split(), t.split()
+        for p in range(len(w) - len(x) + 1):
+            if edit_distance(w[p : p + len(x)], x) <= int(0.2 * len(x)):
+                assert (j, int(words.first[j]) + p) in taken
+    hits = {(row, j) for row, j, _, _ in bench.search(words)}
+    assert sum((j, j) in hits for j in range(len(items))) >= 0.95 * len(items)
+
+
 def test_ring(spark):
     n, shards, vnodes, slack = 3000, 7, 5, 0.05
     df = spark.range(n).withColumnRenamed("id", "doc_id")
