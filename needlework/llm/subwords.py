@@ -66,30 +66,18 @@ class Subwords:
 
 
 class PackedSubwords(Subwords):
-    """Ids as little-endian 16-bit numbers; pieces are remembered until the memory is full, so that the frequent ones stay."""
+    """Ids as little-endian 16-bit numbers."""
 
     def __init__(self, path: str = DEFAULT_VOCABULARY):
         super().__init__(path)
         if self.size > 1 << 16:
             raise ValueError("the vocabulary has more than 65,536 ids")
-        self.packed: dict[str, bytes] = {}
 
     def pack(self, text: str) -> bytes:
         import array
 
-        pieces = self.pieces(text)
-        if pieces is None:
-            return array.array("H", self.encode_whole(text)).tobytes()
-        known = self.packed
-        out = []
-        for p in pieces:
-            got = known.get(p)
-            if got is None:
-                got = array.array("H", self.encode_whole(p)).tobytes()
-                if len(known) < KEPT and len(p) < 64:
-                    known[p] = got
-            out.append(got)
-        return b"".join(out)
+        # whole: as many words are rare, remembering pieces costs more than it saves
+        return array.array("H", self.encode_whole(text)).tobytes()
 
 
 @functools.lru_cache(maxsize=2)

@@ -454,93 +454,133 @@ def test_boilerplate(spark, sf, group_bytes):
     assert got[5001]["text"] == "1 words of page 7"
 
 
-def test_gradients_and_single_scoring():
+def sample_ids(rng, lengths, most=2000):
+    return [(rng.random(n) ** 3 * most).astype(np.uint16) for n in lengths]
+
+
+def plain_model(model, classes, line, target):
+    """-log p of one id after the symbols of ``line``, without tables or batches."""
+    e = model["e"][line]
+    k = len(line)
+    a = np.exp((e[-1] @ model["q"] / math.sqrt(attention_lm.WIDTH)) @ e.T + model["r"][np.arange(k - 1, -1, -1)])
+    h = np.append((a / a.sum() @ e) @ model["v"] + e[-1], 1)
+    z = h @ model["u"]
+    c = int(classes.of[target])
+    loss = np.log(np.exp(z).sum()) - z[c] - classes.within[target]
+    if c >= attention_lm.OWN:
+        z = h @ model["s"][c - attention_lm.OWN]
+        loss += np.log(np.exp(z).sum()) - z[classes.member[target]]
+    return loss
+
+
+def test_classes():
+    """p(id) without context, from class, member and share of a member, is its share of the counts."""
+    counts = np.random.default_rng(3).integers(0, 1000, 1 << 16)
+    counts[5000:] = 0
+    classes = attention_lm.Classes(counts)
+    shared = classes.of >= attention_lm.OWN
+    member = np.where(shared, classes.member_prior[np.maximum(classes.of.astype(int) - attention_lm.OWN, 0), classes.member], 0)
+    p = np.exp(classes.prior[classes.of] + member + classes.within)
+    assert np.allclose(p, (counts + 1) / (counts + 1).sum(), rtol=1e-4)
+    assert len(set(classes.symbol[np.argsort(-counts, kind="stable")[: attention_lm.INPUTS]])) == attention_lm.INPUTS
+
+
+@pytest.mark.parametrize("scale", [1, 200])
+def test_gradients_and_single_scoring(scale, monkeypatch):
+    monkeypatch.setattr(attention_lm, "PART", 64)
     rng = np.random.default_rng(10)
-    ids = [rng.integers(0, 500, n).astype(np.uint16) for n in (1, 31, 32, 33, 100, 0, 65)]
+    ids = sample_ids(rng, (1, 15, 16, 17, 31, 32, 33, 100, 0, 65, 200))
     classes = attention_lm.Classes(np.bincount(np.concatenate(ids), minlength=1 << 16))
     model = attention_lm.start(classes)
-    inputs, targets, document = attention_lm.blocks(ids, classes)
-    # every id is a target once, in order
-    for d, x in enumerate(ids):
-        mine = targets[document == d].ravel()
-        assert mine[mine >= 0].tolist() == x.tolist()
-    goal = np.where(targets >= 0, classes.of[np.maximum(targets, 0)], -1)
+    # every id is a target once, in order, in training and in scoring
+    for size, before in ((attention_lm.CONTEXT, 0), (attention_lm.STRIDE, attention_lm.CONTEXT - attention_lm.STRIDE)):
+        line, goal, begin, document = attention_lm.lines(ids, attention_lm.parts(ids), classes, size, before)
+        targets = goal[begin[:, None] + np.arange(before, before + size)]
+        for d, x in enumerate(ids):
+            mine = targets[document == d].ravel()
+            assert mine[mine >= 0].tolist() == x.tolist()
+    line, goal, begin, document = attention_lm.lines(ids, attention_lm.parts(ids), classes, attention_lm.CONTEXT, 0)
+    at = begin[:, None] + np.arange(attention_lm.CONTEXT)
+    inputs, goals = line[at], goal[at]
     wide = {k: v.astype(np.float64) for k, v in model.items()}
-    _, g = attention_lm.gradients(wide, inputs, goal)
-    for name, at in (("q", (1, 2)), ("k", (3, 1)), ("v", (0, 0)), ("u", (2, 7)), ("b", (5,)), ("r", (3,)), ("e", (int(inputs[0, -1]), 3))):
+    # the loss against a plain computation of it
+    loss, g = attention_lm.gradients(wide, inputs, goals, classes)
+    total, n = 0.0, 0
+    for x, y in zip(inputs, goals):
+        for i in np.flatnonzero(y >= 0):
+            total += plain_model(wide, classes, x[: i + 1], y[i]) + classes.within[y[i]]
+            n += 1
+    assert abs(loss - total / n) < 1e-6
+    _, outer = attention_lm.gradients(wide, inputs, goals, classes, inner=False)
+    assert set(outer) == {"u", "s"} and all(np.allclose(outer[x], g[x]) for x in outer)
+    rare = int(np.argmax(np.abs(g["s"]).sum(axis=(1, 2))))
+    for name, place in (("q", (1, 2)), ("v", (0, 0)), ("u", (2, 7)), ("u", (attention_lm.WIDTH, 30)), ("s", (rare, 3, 1)), ("s", (rare, attention_lm.WIDTH, 0)), ("r", (3,)), ("e", (int(inputs[0, 0]), 3)), ("e", (int(inputs[9, 5]), 2))):
         losses = []
         for step in (1e-4, -1e-4):
             other = {k: v.copy() for k, v in wide.items()}
-            other[name][at] += step
-            losses.append(attention_lm.gradients(other, inputs, goal)[0])
-        assert abs((losses[0] - losses[1]) / 2e-4 - g[name][at]) < 1e-5
-    # a plain computation of each token's loss, a place at a time
-    got = attention_lm.Scorer(model, classes).score(ids)
+            other[name][place] += step
+            losses.append(attention_lm.gradients(other, inputs, goals, classes)[0])
+        assert abs((losses[0] - losses[1]) / 2e-4 - g[name][place]) < 1e-5
+    # a plain computation of each token's loss, a place at a time; with large weights exponents are kept in range
+    model["q"] *= scale
+    model["u"] *= scale
+    scorer = attention_lm.Scorer(model, classes)
+    assert scorer.safe == (scale == 1)
+    got = scorer.score(ids, step=3, batch=5)
     for d, x in enumerate(ids):
-        line = [0, *classes.symbol[x[:-1]].tolist()] if len(x) else []
+        symbols = [0, *classes.symbol[x[:-1]].tolist()] if len(x) else []
         total = 0.0
         for i, y in enumerate(x.tolist()):
-            begin = max(0, i // 32 * 32 - 32)
-            e = model["e"][line[begin : i + 1]]
-            s = (e[-1] @ model["q"] / 4) @ (e @ model["k"]).T + model["r"][np.arange(i - begin, -1, -1)]
-            a = np.exp(s) / np.exp(s).sum()
-            z = (a @ (e @ model["v"]) + e[-1]) @ model["u"] + model["b"]
-            total -= z[classes.of[y]] - np.log(np.exp(z).sum()) + classes.within[y]
-        assert abs(got[d] - total) < 1e-3 * max(1, total)
+            begin = max(0, i // attention_lm.STRIDE * attention_lm.STRIDE - (attention_lm.CONTEXT - attention_lm.STRIDE))
+            total += plain_model({k: v.astype(np.float64) for k, v in model.items()}, classes, symbols[begin : i + 1], y)
+        assert abs(got[d] - total) < 2e-3 * max(1, total)
 
 
 def test_held_out(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    coded = attention_lm.encoded(docs).cache()
-    train, held = coded.where("doc_id % 4 != 0"), coded.where("doc_id % 4 = 0")
-    counts = attention_lm.counted(train)
-    classes = attention_lm.Classes(counts)
-    model = attention_lm.fit(train, classes, share=1.0, rounds=2, replica_tokens=40_000)
-    rows = attention_lm.scored(held, model, classes).collect()
-    mean = sum(r["nll"] for r in rows) / sum(r["n_tokens"] for r in rows)
-    ids = np.concatenate(attention_lm.unpack(pa.array([bytes(r["ids"]) for r in held.collect()])))
-    p = (counts + 1) / (counts + 1).sum()
-    assert mean < -np.log(p[ids]).mean() - 0.5
-
-
-def test_held_out_as_in_production(spark, sf):
-    """With the share that op8_attention_lm trains on, which is every document."""
+    """As op8_attention_lm trains: all documents, its own rounds."""
     coded = attention_lm.encoded(spark.read.parquet(f"{sf}/documents.parquet")).cache()
     train, held = coded.where("doc_id % 4 != 0"), coded.where("doc_id % 4 = 0")
     counts = attention_lm.counted(train)
     classes = attention_lm.Classes(counts)
-    rows = attention_lm.scored(held, attention_lm.fit(train, classes, rounds=2, replica_tokens=40_000), classes).collect()
-    mean = sum(r["nll"] for r in rows) / sum(r["n_tokens"] for r in rows)
     ids = np.concatenate(attention_lm.unpack(pa.array([bytes(r["ids"]) for r in held.collect()])))
     p = (counts + 1) / (counts + 1).sum()
-    assert mean < -np.log(p[ids]).mean() - 0.5
+    for options in ({}, {"replica_tokens": 40_000}):
+        model = attention_lm.fit(train, classes, **options)
+        rows = attention_lm.scored(held, model, classes).collect()
+        mean = sum(r["nll"] for r in rows) / sum(r["n_tokens"] for r in rows)
+        assert mean < -np.log(p[ids]).mean() - 0.5
 
 
-@pytest.mark.parametrize("share", [attention_lm.SHARE, 1 / (1 << 20)])
-def test_training_on_few_documents(spark, share):
-    """No document is scored by weights that were never trained, and every replica counts by its tokens."""
+def test_training_is_the_mean_of_replicas(spark):
+    """Every document is trained on once, and a round of several replicas is the mean of their weights by tokens."""
     rng = random.Random(13)
-    coded = attention_lm.encoded(spark.createDataFrame([(i, prose(rng, 40)) for i in range(6)], "doc_id long, text string")).cache()
+    coded = attention_lm.encoded(spark.createDataFrame([(i, prose(rng, 40)) for i in range(30)] + [(None, "twice"), (None, "twice"), (99, "")], "doc_id long, text string")).cache()
     classes = attention_lm.Classes(attention_lm.counted(coded))
     begun = attention_lm.start(classes)
-    for replica_tokens in (1 << 18, 100):
-        model = attention_lm.fit(coded, classes, share=share, rounds=1, replica_tokens=replica_tokens)
-        assert all(np.isfinite(x).all() for x in model.values())
-        assert not np.array_equal(attention_lm.flat(model), attention_lm.flat(begun))
-    # one round of several replicas is the mean of their weights by tokens
-    rows = [(r["doc_id"], bytes(r["ids"])) for r in coded.collect()]
+    rows = [(r["doc_id"], bytes(r["ids"])) for r in coded.collect() if r["ids"]]
     tokens = sum(len(x) // 2 for _, x in rows)
-    replicas = math.ceil(tokens / 100)
-    named = coded.selectExpr("doc_id", f"pmod(xxhash64(ids, doc_id), {replicas}) AS replica").collect()
-    want, total = np.zeros(len(attention_lm.flat(begun))), 0
-    for k in {r["replica"] for r in named}:
-        own = sorted(x for x in rows if x[0] in {r["doc_id"] for r in named if r["replica"] == k})
-        ids = [np.frombuffer(x, np.uint16) for _, x in own]
-        n = sum(map(len, ids))
-        want += n * attention_lm.flat(attention_lm.train(begun, ids, classes)[0]).astype(np.float64)
-        total += n
-    assert total == tokens and replicas > 2
-    assert np.allclose(attention_lm.flat(model), want / total, atol=1e-5)
+    rounds = (1, 3)
+    named = coded.where("length(ids) > 0").selectExpr("doc_id", "ids", "pmod(xxhash64(ids, doc_id), 4) >= 1 AS later", "shiftrightunsigned(xxhash64(ids, doc_id), 20) AS h").collect()
+    want = begun
+    seen = 0
+    for later in (False, True):
+        mine = [(r["doc_id"], bytes(r["ids"]), r["h"]) for r in named if r["later"] == later]
+        size = sum(len(x) // 2 for _, x, _ in mine)
+        replicas = math.ceil(size / 100)
+        assert replicas > 1
+        total = np.zeros(len(attention_lm.flat(begun)))
+        for k in range(replicas):
+            own = sorted((x for x in mine if x[2] % replicas == k), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+            ids = [np.frombuffer(x, np.uint16) for _, x, _ in own]
+            total += sum(map(len, ids)) * attention_lm.flat(attention_lm.train(want, ids, classes, inner=not later)[0]).astype(np.float64)
+            seen += sum(map(len, ids))
+        want = attention_lm.unflat((total / size).astype(np.float32), classes)
+    assert seen == tokens
+    model = attention_lm.fit(coded, classes, rounds=rounds, replica_tokens=100, least_tokens=1)
+    assert np.allclose(attention_lm.flat(model), attention_lm.flat(want), atol=1e-5)
+    # a small corpus is gone over again
+    more = attention_lm.fit(coded, classes, rounds=rounds, replica_tokens=100, least_tokens=2 * tokens)
+    assert all(np.isfinite(x).all() for x in more.values()) and not np.allclose(attention_lm.flat(more), attention_lm.flat(model), atol=1e-3)
 
 
 def test_pipeline(spark, corpus, tmp_path):

@@ -133,7 +133,7 @@ def test_decontamination(spark, docs, none, monkeypatch, most):
 def test_scores(spark, docs, none):
     coded = attention_lm.encoded(docs).cache()
     classes = attention_lm.Classes(attention_lm.counted(coded))
-    model = attention_lm.fit(coded, classes, share=1.0, rounds=1)
+    model = attention_lm.fit(coded, classes)
     out = attention_lm.scored(coded, model, classes).collect()
     assert len(out) == len(ROWS)
     for r in out:
