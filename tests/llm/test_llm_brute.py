@@ -487,7 +487,7 @@ def test_classes():
 
 @pytest.mark.parametrize("scale", [1, 200])
 def test_gradients_and_single_scoring(scale, monkeypatch):
-    monkeypatch.setattr(attention_lm, "PART", 64)
+    monkeypatch.setattr(attention_lm, "PART", 96)
     rng = np.random.default_rng(10)
     ids = sample_ids(rng, (1, 15, 16, 17, 31, 32, 33, 100, 0, 65, 200))
     classes = attention_lm.Classes(np.bincount(np.concatenate(ids), minlength=1 << 16))
@@ -511,10 +511,15 @@ def test_gradients_and_single_scoring(scale, monkeypatch):
             total += plain_model(wide, classes, x[: i + 1], y[i]) + classes.within[y[i]]
             n += 1
     assert abs(loss - total / n) < 1e-6
-    _, outer = attention_lm.gradients(wide, inputs, goals, classes, inner=False)
-    assert set(outer) == {"u", "s"} and all(np.allclose(outer[x], g[x]) for x in outer)
+    # a round that leaves embeddings and attention alone goes down the same way in the rest
+    h = np.empty((inputs.size, attention_lm.WIDTH + 1), np.float32)
+    attention_lm.Scorer(model, classes).states(inputs, h, attention_lm.CONTEXT)
+    _, outer, _ = attention_lm.heads(model, h, goals, classes)
+    assert set(outer) == {"u", "s"} and all(np.allclose(outer[x], g[x], atol=1e-5) for x in outer)
+    after, _ = attention_lm.train(model, ids, classes, inner=False)
+    assert {x for x in model if not np.array_equal(after[x], model[x])} == {"u", "s"}
     rare = int(np.argmax(np.abs(g["s"]).sum(axis=(1, 2))))
-    for name, place in (("q", (1, 2)), ("v", (0, 0)), ("u", (2, 7)), ("u", (attention_lm.WIDTH, 30)), ("s", (rare, 3, 1)), ("s", (rare, attention_lm.WIDTH, 0)), ("r", (3,)), ("e", (int(inputs[0, 0]), 3)), ("e", (int(inputs[9, 5]), 2))):
+    for name, place in (("q", (1, 2)), ("v", (0, 0)), ("u", (2, 7)), ("u", (attention_lm.WIDTH, 20)), ("s", (rare, 3, 1)), ("s", (rare, attention_lm.WIDTH, 0)), ("r", (3,)), ("e", (int(inputs[0, 0]), 3)), ("e", (int(inputs[9, 5]), 2))):
         losses = []
         for step in (1e-4, -1e-4):
             other = {k: v.copy() for k, v in wide.items()}
