@@ -4,8 +4,8 @@ Words are runs of letters and digits, lower-cased. A document's k-mers are its p
 labelled k-mers; a sketch is those two in text order, so it answers to edit similarity and not only to the set of words. Documents that share a sketch
 are candidates; candidates are near copies iff the edit distance of their words is at most ``1 - similarity`` of the longer one's words, found by banded
 alignment. Exact copies (equal texts) are collapsed first. Near copies are linked in two passes that together leave out only pairs already joined: each
-member of a bucket against the bucket's least document, then all pairs of a bucket that lie in different components (but for those whose word
-histograms rule a near copy out). Groups are the connected components.
+member of a bucket against the bucket's least document, then what lies in one bucket but in different components, by classes of length and in blocks of ``BLOCK``, so that no
+task holds a whole bucket. In both, word histograms rule out what can't be a near copy before any words move. Groups are the connected components.
 
 With similarity s, two words in a row survive with about s**2; at 0.8 a sketch agrees with about 0.22 and one of 16 with about 0.98.
 
@@ -18,6 +18,7 @@ than doc_id and text are carried by ``dedup`` and ignored by ``duplicates``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from needlework.llm import tokens
 from needlework.llm.align import distances
@@ -37,6 +37,10 @@ SKETCHES = 16
 SIMILARITY = 0.8
 NULL_KEY = -(2**63)
 BINS = 256
+#: documents whose keys are sent to all tasks at most; for more, the texts are shuffled
+BROADCAST_KEYS = 500_000
+#: members of a bucket that are compared with as many in one task
+BLOCK = 1024
 _SEEDS = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, (2, 64), dtype=np.uint64)
 
 
@@ -167,67 +171,139 @@ def near(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y").mapInArrow(verify, "a long, b long")
 
 
-def duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """A row for each document that goes: key, digest, duplicate_of (the least doc_id of its group, as key), kind (exact or near), copies (rows with this key and text)."""
-    signed = written(signatures(docs), "signatures")
-    least = Window.partitionBy("digest").orderBy("key")
-    ranked = signed.select("key", "digest", "n_words", "sketches").withColumn("_r", F.row_number().over(least)).withColumn("_rep", F.min("key").over(Window.partitionBy("digest")))
-    reps = ranked.where("_r = 1")
-    bands = reps.where("n_words > 0").select("key", "n_words", F.explode("sketches").alias("band"))
-    # a document is in a bucket once, though two of its sketches may agree
-    bucket = Window.partitionBy("band")
-    buckets = bands.withColumn("_p", F.min(F.struct("key", "n_words")).over(bucket)).withColumn("_n", F.count("*").over(bucket)).where("_n > 1")
-    buckets = written(buckets.select("band", "key", "n_words", F.col("_p.key").alias("pivot"), F.col("_p.n_words").alias("pivot_words"), "_n"), "buckets")
+def pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, words): 32 bits of each word's hash."""
+    for whole in batches:
+        for batch in tokens.slices(whole, 1):
+            w = plain_words(batch.column(1))
+            data = (w.hashes >> np.uint64(32)).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((w.first * 4).astype(np.int32)), pa.py_buffer(data)])], ["key", "words"])
 
-    def alike(a: str, b: str):
-        return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
 
-    first = buckets.where("key != pivot").where(alike("n_words", "pivot_words")).select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
+def words_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """(key, words) of the documents needed(key, digest), each once. The texts stay where they are while the keys are few enough to be sent to all tasks."""
+    if needed.count() <= BROADCAST_KEYS:
+        needed = F.broadcast(needed)
+    texts = docs.where("text IS NOT NULL").select(key_of(), F.unhex(F.md5("text")).alias("digest"), "text")
+    return written(texts.join(needed, ["key", "digest"]).dropDuplicates(["key", "digest"]).select("key", "text").mapInArrow(pack_words, "key long, words binary"), "words")
 
-    def pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in tokens.slices(whole, 1):
-                w = plain_words(batch.column(1))
-                data = (w.hashes >> np.uint64(32)).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((w.first * 4).astype(np.int32)), pa.py_buffer(data)])], ["key", "words"])
 
-    # a doc_id may carry several texts: words belong to a key and text, and the key of a representative alone names it within its digest
-    needed = buckets.select("key").distinct().join(reps.select("key", "digest"), "key")
-    texts = docs.where("text IS NOT NULL").select(key_of(), F.unhex(F.md5("text")).alias("digest"), "text")
-    words = written(texts.join(needed, ["key", "digest"]).dropDuplicates(["key", "digest"]).select("key", "text").mapInArrow(pack_words, "key long, words binary"), "words")
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+
+
+def alike(a: str, b: str, similarity: float):
+    return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
+
+
+def unjoined(rows: DataFrame, bins: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of rows(band, key, comp, n_words) in one band and different components that lengths and histograms don't rule out.
+
+    Near copies lie in the same class of length or in neighbouring ones. A cell holds a class (left) and that class and the next one (right); both sides are cut into blocks by a
+    hash, and a task compares a block with a block.
+    """
+    mixed = rows.groupBy("band").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a != _b").select("band")
+    size = F.floor(F.log("n_words") / -math.log(similarity) + 1e-9).cast("int") if similarity < 1 else F.col("n_words")
+    placed = rows.join(mixed, "band").withColumn("size", size)
+    left = placed.groupBy("band", "size").agg(F.count("*").alias("n"))
+    right = left.union(left.select("band", F.col("size") - 1, "n")).groupBy("band", "size").agg(F.sum("n").alias("m"))
+    # several documents on the right, one on the left at least
+    cells = left.join(right.where("m > 1"), ["band", "size"]).select("band", F.col("size").alias("cell"), F.ceil(F.col("n") / BLOCK).alias("lefts"), F.ceil(F.col("m") / BLOCK).alias("rights"))
+    mark = F.xxhash64("key")
+    spread = placed.select("band", "key", "comp", "n_words", mark.alias("_h"), F.explode(F.array(F.struct(F.col("size").alias("cell"), F.lit(True).alias("own")), F.struct((F.col("size") - 1).alias("cell"), F.lit(False).alias("own")))).alias("_c")).select("*", "_c.cell", "_c.own")
+    ways = F.concat(
+        F.when(F.col("own"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("rights") - 1), lambda j: F.struct(F.pmod("_h", "lefts").alias("i"), j.alias("j"), F.lit(0).alias("side")))).otherwise(F.array()),
+        F.transform(F.sequence(F.lit(0).cast("long"), F.col("lefts") - 1), lambda i: F.struct(i.alias("i"), F.pmod("_h", "rights").alias("j"), F.lit(1).alias("side"))),
+    )
+    sent = spread.join(cells, ["band", "cell"]).select("band", "cell", "key", "comp", "n_words", F.explode(ways).alias("_w")).select("band", "cell", "_w.i", "_w.j", "_w.side", "key", "comp", "n_words")
+    full = sent.join(bins.select("key", "bins"), "key")
+    group = ["band", "cell", "i", "j"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come ordered by group and side; a group is two blocks at most."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = np.array([batch.column(c).to_numpy() for c in range(4)])
+            cuts = [0, *(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            if held and any(held[-1].column(c)[0].as_py() != batch.column(c)[0].as_py() for c in range(4)):
+                yield from pairs_in(pa.Table.from_batches(held))
+                held = []
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                held.append(batch.slice(x, y - x))
+                if y < batch.num_rows:
+                    yield from pairs_in(pa.Table.from_batches(held))
+                    held = []
+        if held:
+            yield from pairs_in(pa.Table.from_batches(held))
+
+    def pairs_in(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        side, key, comp, n = (table.column(c).to_numpy() for c in ("side", "key", "comp", "n_words"))
+        cut = int(np.searchsorted(side, 1))
+        if not cut or cut == len(side):
+            return
+        x = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+        found = []
+        step = max(1, (1 << 14) // (len(side) - cut))
+        for at in range(0, cut, step):
+            to = min(cut, at + step)
+            most = np.maximum(n[at:to, None], n[None, cut:])
+            ok = (np.minimum(n[at:to, None], n[None, cut:]) >= similarity * most - 1e-9) & (comp[at:to, None] != comp[None, cut:])
+            i, j = np.nonzero(ok)
+            near_ = np.abs(x[at + i] - x[cut + j]).sum(axis=1, dtype=np.int64) <= 2 * np.floor((1 - similarity) * most[i, j] + 1e-9)
+            found.append((key[at + i[near_]], key[cut + j[near_]]))
+        a, b = (np.concatenate(z) for z in zip(*found, strict=True))
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+    ordered = full.select(*group, "side", "key", "comp", "n_words", "bins").repartition(*group).sortWithinPartitions(*group, "side")
+    return ordered.mapInArrow(compare, "a long, b long").where("a != b").distinct()
+
+
+def duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """A row for each document that goes: key, digest, duplicate_of (the least doc_id of its group, as key), kind (exact or near), copies (rows with this key and text)."""
+    signed = written(signatures(docs), "signatures")
+    bins = signed.select("key", "n_words", "bins")
+    each = signed.groupBy("digest", "key").agg(F.count("*").alias("copies"))
+    named = written(each.join(each.groupBy("digest").agg(F.min("key").alias("rep")), "digest"), "texts")
+    reps = named.where("key = rep").select("digest", "key")
+    bands = signed.where("n_words > 0").select("key", "digest", "n_words", "sketches").join(reps, ["key", "digest"]).select("key", "n_words", F.explode("sketches").alias("band"))
+    heads = bands.groupBy("band").agg(F.min(F.struct("key", "n_words")).alias("_p"), F.count("*").alias("_n")).where("_n > 1").select("band", F.col("_p.key").alias("pivot"), F.col("_p.n_words").alias("pivot_words"), "_n")
+    buckets = written(bands.join(heads, "band").where("key != pivot"), "buckets")
+    first = buckets.where(alike("n_words", "pivot_words", similarity)).select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
+    first = written(possible(first, bins, similarity), "pairs")
+    words = words_of(docs, ends_of(first).join(reps, "key"))
     linked = written(near(first, words, similarity), "links")
     joined = components(linked)
-    bins = signed.join(reps.select("key", "digest"), ["key", "digest"], "left_semi")
-    # second pass: what lies in one bucket but not in one component
-    placed = buckets.where("_n > 2 AND key != pivot").join(joined, "key", "left").withColumn("comp", F.coalesce("root", "key"))
-    parts = placed.groupBy("band", "comp").agg(F.collect_set(F.struct("key", "n_words")).alias("members"))
-    several = parts.withColumn("_c", F.count("*").over(bucket)).where("_c > 1").drop("_c")
-    other = several.select("band", F.col("comp").alias("comp2"), F.col("members").alias("members2"))
-    second = (
-        several.join(other, "band")
-        .where("comp < comp2")
-        .select(F.explode("members").alias("x"), "members2")
-        .select("x", F.explode("members2").alias("y"))
-        .where(alike("x.n_words", "y.n_words"))
-        .select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b"))
-        .distinct()
-    )
-    links = written(linked.union(near(possible(second, bins, similarity), words, similarity)), "links")
+    # second pass: what lies in one bucket but not in one component; the bucket's least document was compared with all
+    rest = buckets.where("_n > 2").select("band", "key", "n_words").distinct().join(joined, "key", "left").select("band", "key", F.coalesce("root", "key").alias("comp"), "n_words")
+    second = written(unjoined(rest, bins, similarity), "pairs")
+    more = words_of(docs, ends_of(second).join(words.select("key"), "key", "left_anti").join(reps, "key"))
+    links = linked.union(near(second, words.union(more), similarity))
     roots = components(links)
-    flagged = ranked.join(roots.withColumnRenamed("key", "_rep"), "_rep", "left").withColumn("duplicate_of", F.coalesce("root", "_rep"))
-    flagged = flagged.withColumn("copies", F.count("*").over(Window.partitionBy("key", "digest")))
-    return flagged.where("_r > 1 OR duplicate_of != key").select("key", "digest", "duplicate_of", F.when(F.col("_r") > 1, "exact").otherwise("near").alias("kind"), "copies")
+    flagged = named.join(roots.withColumnRenamed("key", "rep"), "rep", "left").withColumn("duplicate_of", F.coalesce("root", "rep"))
+    # of the rows with the least key and the group's first text, one stays; of a text that was copied, the first is near and the others exact copies
+    flagged = flagged.withColumn("_stays", ((F.col("key") == F.col("rep")) & (F.col("duplicate_of") == F.col("key"))).cast("int"))
+    rows = flagged.where("copies > _stays").select("*", F.explode(F.sequence(F.lit(1).cast("long") + F.col("_stays"), F.col("copies"))).alias("_r"))
+    kind = F.when((F.col("_r") > 1) | (F.col("key") != F.col("rep")), "exact").otherwise("near")
+    return rows.select("key", "digest", "duplicate_of", kind.alias("kind"), "copies")
 
 
 def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one document of each group, that with the least doc_id; of a row given twice one stays."""
-    gone = duplicates(docs, similarity)
+    gone = written(duplicates(docs, similarity), "duplicates")
     whole = gone.where("copies = 1 OR duplicate_of != key").select("key", "digest").distinct()
+    if whole.count() <= BROADCAST_KEYS:
+        whole = F.broadcast(whole)
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key_of(), F.unhex(F.md5("text")).alias("digest"))
     left = marked.join(whole, ["key", "digest"], "left_anti")
-    if not gone.where("copies > 1 AND duplicate_of = key").isEmpty():
-        twice = Window.partitionBy("key", "digest").orderBy(F.lit(0))
-        left = left.withColumn("_twin", F.row_number().over(twice)).where("_twin = 1 OR _row.text IS NULL")
+    twins = gone.where("copies > 1 AND duplicate_of = key").select("key", "digest").distinct()
+    if not twins.isEmpty():
+        # rows given several times: only these are moved
+        single = left.join(twins, ["key", "digest"], "left_anti")
+        first = left.join(twins, ["key", "digest"], "left_semi").groupBy("key", "digest").agg(F.first("_row").alias("_row"))
+        left = single.select("_row").union(first.select("_row"))
     return left.select("_row.*")
 
 

@@ -193,7 +193,10 @@ def test_components(spark):
     assert got == {x: find(x) for x in root if any(x in e and e[0] != e[1] for e in edges)}
 
 
-def test_near_copies(spark, corpus):
+@pytest.mark.parametrize("block,most", [(1024, 500_000), (2, 0)])
+def test_near_copies(spark, corpus, monkeypatch, block, most):
+    monkeypatch.setattr(order_minhash, "BLOCK", block)
+    monkeypatch.setattr(order_minhash, "BROADCAST_KEYS", most)
     docs, _ = corpus
     want = {i: r for i, r in near_groups(docs).items() if r != i}
     found = order_minhash.duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
@@ -203,6 +206,27 @@ def test_near_copies(spark, corpus):
     assert all(kinds[i] == "exact" for i, t in docs if any(t == u and j < i for j, u in docs))
 
 
+@pytest.mark.parametrize("block", [2, 1000])
+def test_unjoined(spark, block, monkeypatch):
+    """Every pair of a band in different components that lengths and histograms allow, and no other."""
+    monkeypatch.setattr(order_minhash, "BLOCK", block)
+    rng = random.Random(15)
+    rows, bins = [], {}
+    for i in range(60):
+        n = rng.choice([1, 2, 3, 8, 9, 10, 12, 40, 50])
+        x = np.bincount([rng.randrange(6) for _ in range(n)], minlength=order_minhash.BINS).astype(np.uint8)
+        bins[i] = (n, x)
+        rows += [(band, i, rng.randrange(3) if band else i % 2, n) for band in range(3) if rng.random() < 0.7]
+    df = spark.createDataFrame(rows, "band long, key long, comp long, n_words int")
+    table = spark.createDataFrame([(i, n, bytearray(x.tobytes())) for i, (n, x) in bins.items()], "key long, n_words int, bins binary")
+    got = {(r["a"], r["b"]) for r in order_minhash.unjoined(df, table, 0.8).collect()}
+    want = set()
+    for (s, i, c, n), (t, j, d, m) in itertools.combinations(rows, 2):
+        if s == t and c != d and min(n, m) >= 0.8 * max(n, m) - 1e-9 and np.abs(bins[i][1].astype(int) - bins[j][1]).sum() <= 2 * math.floor(0.2 * max(n, m) + 1e-9):
+            want.add((max(i, j), min(i, j)))
+    assert got == want and len(want) > 20
+
+
 @pytest.mark.parametrize("window,block", [(50, 1_500_000), (12, 300), (3, 50)])
 def test_passages(spark, corpus, monkeypatch, window, block):
     monkeypatch.setattr(repeats, "BLOCK_TOKENS", block)
