@@ -1,6 +1,6 @@
 """Operator 10: consistent-hash ring with virtual nodes and bounded loads.
 
-Every key hashes to a slot of a ring that carries ``shards * vnodes`` virtual nodes; its home is the next virtual node clockwise. No shard takes
+Every key hashes to a place of 64 bits on a ring that carries ``shards * vnodes`` virtual nodes; its home is the next virtual node clockwise. No shard takes
 more than ``ceil((1 + slack) * keys / shards)`` keys: keys that find a shard full continue clockwise to the next shard with room. Keys are served in
 the order (level, arc, priority, key), where level and priority come from a second hash, so the outcome depends on the set of keys only and not on
 partitioning or arrival. A whole (level, arc) cell meets the same shards in the same order, so the walk is simulated over cell counts, whose number
@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,58 +24,61 @@ from pyspark.sql.window import Window
 
 from needlework.llm.scratch import load
 
-SLOTS = 1 << 16
 LEVELS = 16
 
 
 def ring(shards: int, vnodes: int) -> list[tuple[int, int]]:
-    """(slot, shard) of each virtual node, clockwise; ties on a slot are ordered by shard."""
+    """(place, shard) of each virtual node, clockwise; ties on a place are ordered by shard."""
     nodes = []
     for shard in range(shards):
         for v in range(vnodes):
             digest = hashlib.md5(f"shard-{shard}-{v}".encode()).digest()
-            nodes.append((int.from_bytes(digest[:8], "big") % SLOTS, shard))
+            nodes.append((int.from_bytes(digest[:8], "big"), shard))
     return sorted(nodes)
 
 
-def slot_to_arc(nodes: list[tuple[int, int]]) -> list[int]:
-    """For each slot the index of the first virtual node at or after it, clockwise."""
-    arcs, at = [], 0
-    for slot in range(SLOTS):
-        while at < len(nodes) and nodes[at][0] < slot:
-            at += 1
-        arcs.append(at % len(nodes))
-    return arcs
-
-
-def walks(nodes: list[tuple[int, int]], shards: int) -> list[list[int]]:
-    """For each arc the distinct shards in the order in which a key walking clockwise meets them."""
-    out = []
-    for arc in range(len(nodes)):
-        seen: list[int] = []
-        have = set()
-        for k in range(len(nodes)):
-            s = nodes[(arc + k) % len(nodes)][1]
-            if s not in have:
-                have.add(s)
-                seen.append(s)
-                if len(seen) == shards:
-                    break
-        out.append(seen)
-    return out
+def arc_of(nodes: list[tuple[int, int]]):
+    """For each hash the index of the first virtual node at or after it, clockwise; what is sent to the tasks is eight bytes a virtual node."""
+    places = np.array([p for p, _ in nodes], np.uint64)
+
+    def arc(h: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(places, h.to_numpy(np.int64).view(np.uint64)) % len(places), dtype="int32")
+
+    return F.pandas_udf(arc, "int")
+
+
+class Walks:
+    """For each arc the distinct shards in the order in which a key walking clockwise meets them, found as far as they are asked for."""
+
+    def __init__(self, nodes: list[tuple[int, int]], shards: int):
+        self.nodes, self.shards = nodes, shards
+        self.met: dict[int, tuple[list[int], set[int], list[int]]] = {}
+
+    def __call__(self, arc: int) -> Iterator[int]:
+        seen, have, at = self.met.setdefault(arc, ([], set(), [0]))
+        for hops in range(self.shards):
+            while len(seen) <= hops:
+                if at[0] == len(self.nodes):
+                    return
+                s = self.nodes[(arc + at[0]) % len(self.nodes)][1]
+                at[0] += 1
+                if s not in have:
+                    have.add(s)
+                    seen.append(s)
+            yield seen[hops]
 
 
 def fill(counts: dict[tuple[int, int], int], nodes: list[tuple[int, int]], shards: int, capacity: int) -> list[tuple[int, int, int, int, int, int, int]]:
     """Serve the cells in order; segments (level, arc, first_rank, end_rank, home, shard, hops)."""
     room = [capacity] * shards
-    paths = walks(nodes, shards)
+    walks = Walks(nodes, shards)
     segments = []
     for (level, arc), n in sorted(counts.items()):
-        at, path = 0, paths[arc]
-        for hops, shard in enumerate(path):
+        at, home = 0, nodes[arc][1]
+        for hops, shard in enumerate(walks(arc)):
             take = min(room[shard], n - at)
             if take > 0:
-                segments.append((level, arc, at, at + take, path[0], shard, hops))
+                segments.append((level, arc, at, at + take, home, shard, hops))
                 room[shard] -= take
                 at += take
             if at == n:
@@ -87,14 +92,11 @@ def assign(df: DataFrame, key: str, shards: int = 64, vnodes: int = 64, slack: f
         raise ValueError("shards and vnodes must be positive and slack not negative")
     spark = df.sparkSession
     nodes = ring(shards, vnodes)
-    arcs = spark.createDataFrame(pd.DataFrame({"_slot": range(SLOTS), "_arc": slot_to_arc(nodes)}), "_slot int, _arc int")
     keyed = df.select(F.col(key).alias("_key")).select(
         "_key",
-        F.shiftrightunsigned(F.xxhash64("_key"), 48).cast("int").alias("_slot"),
+        arc_of(nodes)(F.xxhash64("_key")).alias("_arc"),
         F.xxhash64("_key", F.lit("order")).alias("_p"),
-    )
-    # 65,536 fixed rows whatever the data: the only broadcast besides the segments below
-    keyed = keyed.join(F.broadcast(arcs), "_slot").withColumn("_level", F.shiftrightunsigned("_p", 60).cast("int"))
+    ).withColumn("_level", F.shiftrightunsigned("_p", 60).cast("int"))
     # at most LEVELS * shards * vnodes rows come back, fixed by the ring
     counts = {(r["_level"], r["_arc"]): r["n"] for r in keyed.groupBy("_level", "_arc").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
