@@ -34,6 +34,8 @@ EDITS = 0.2
 WALKS = 8
 TABLES = 4
 SAMPLED = 3
+#: steps of all walks that are held at once
+CELLS = 1 << 22
 ITEM_WORDS = 2_000_000
 #: contaminated ids that are sent to all tasks at most; more are joined by a shuffle
 BROADCAST_IDS = 500_000
@@ -44,7 +46,20 @@ _BITS = 22
 
 
 def embed(words: np.ndarray, start: np.ndarray, size: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The sampled symbols (walk, table, sample, window) of windows words[start:start + size], walked for 3 * length steps."""
+    """The sampled symbols (walk, table, sample, window) of windows words[start:start + size], walked for 3 * length steps, as many windows at a time as ``CELLS`` allows."""
+    out = np.empty((WALKS, TABLES, SAMPLED, len(start)), np.uint32)
+    by = np.argsort(length, kind="stable")
+    at = len(by)
+    while at:
+        most = max(1, CELLS // (3 * WALKS * max(1, int(length[by[at - 1]]))))
+        part = by[max(0, at - most) : at]
+        out[..., part] = walked(words, start[part], size[part], length[part])
+        at -= len(part)
+    return out
+
+
+def walked(words: np.ndarray, start: np.ndarray, size: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The same of windows that fit into memory together."""
     steps = int(3 * length.max(initial=0))
     place = np.zeros((WALKS, len(start)), np.int64)
     trail = np.zeros((steps, WALKS, len(start)), np.uint32)
@@ -172,6 +187,10 @@ def findings(docs: DataFrame, items: DataFrame, edits: float = EDITS) -> DataFra
 
         texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         found = texts.mapInArrow(find, schema)
+        if slices > 1:
+            # a slice at a time: its items are let go before the next ones are read
+            found = written(found, "found")
+            shared.destroy()
         out = found if out is None else out.union(found)
     best = F.min(F.struct("n_edits", "start_word"))
     return out.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.start_word", "b.n_edits")
