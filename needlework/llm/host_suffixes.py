@@ -41,6 +41,7 @@ NULL_KEY = -(2**63)
 #: characters that part words by bytes but not for str.split
 CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f]")
 MARK = "\x7f"
+OPEN = "\x01"
 _GONE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
 _TAG = re.compile(r"<(/?[a-zA-Z][a-zA-Z0-9]*)[^>]*>")
 INLINE = {"a", "b", "i", "em", "strong", "span", "u", "s", "small", "sub", "sup", "code", "font", "abbr", "mark", "img"}
@@ -48,16 +49,23 @@ INLINE = {"a", "b", "i", "em", "strong", "span", "u", "s", "small", "sub", "sup"
 
 def stream(page: str) -> str:
     """Words and marked tag names, parted by single spaces."""
-    page = _GONE.sub(" ", CONTROL.sub(" ", page.replace(MARK, "")))
+    page = _closed(_GONE.sub(" ", _closed(CONTROL.sub(" ", page.replace(MARK, "")))))
     out, at = [], 0
     for tag in _TAG.finditer(page):
-        out.append(entities.unescape(page[at : tag.start()]))
+        out.append(entities.unescape(page[at : tag.start()].replace(OPEN, "<")))
         out.append(MARK + tag[1].lower())
         at = tag.end()
-    out.append(entities.unescape(page[at:]))
+    out.append(entities.unescape(page[at:].replace(OPEN, "<")))
     return " ".join(_words(out))
 
 
+def _closed(page: str) -> str:
+    """The page with OPEN for each < that no > follows, so that no pattern reads to the page's end in vain; what an open comment hides is left out."""
+    last = page.rfind(">") + 1
+    tail, comment, _ = page[last:].partition("<!--")
+    return page[:last] + tail.replace("<", OPEN) + comment
+
+
 def _words(parts: list[str]) -> Iterator[str]:
     for i, x in enumerate(parts):
         if i % 2:
