@@ -1,12 +1,12 @@
 """Operator 3: packing documents into training windows by Karmarkar-Karp multiway differencing.
 
-Documents become pieces of at most ``capacity`` subword tokens, cut at spaces (inside a word only where one word alone is too long). The pieces are
-spread over groups of about ``group_bytes`` of text by a hash; within a group k windows are filled at once: every piece starts as a partial partition
-(n, 0, ..., 0), and the two partial partitions with the largest imbalance are merged, largest sum onto smallest, until one is left. Its k sums are
+Documents become pieces of at most ``capacity`` subword tokens, cut at spaces (inside a word only where one word alone is too long); an end mark, which takes one of the tokens,
+stands after each piece. The pieces are spread over groups of about ``group_bytes`` of text by a hash (a group that equal rows make larger is packed in parts of four times that); within a group k windows are filled at once: every piece starts as a partial partition
+(n, 0, ..., 0), of which only what isn't 0 is kept, and the two partial partitions with the largest imbalance are merged, largest sum onto smallest, until one is left. Its k sums are
 nearly equal. k starts at the least count that could hold the tokens and rises while any window exceeds the capacity.
 
-Result: a row per window: window_id (group-number), n_tokens, n_pieces, doc_ids, piece_nos, piece_tokens and text (the pieces in (doc_id, piece_no)
-order, each document's pieces joining to the document again).
+Result: a row per window: window_id (group-number), n_tokens, n_pieces, doc_ids, piece_nos, piece_tokens (end mark included), piece_chars and text (the pieces in (doc_id,
+piece_no) order; piece_chars says where each ends, and a document's pieces join to the document again).
 
 Nulls and empty texts hold no tokens and are in no window. A null doc_id is packed as a document without id. Repeated rows are packed as often as
 they occur. Very long texts give several pieces. An empty table gives no windows. Columns other than doc_id and text are ignored.
@@ -25,15 +25,21 @@ from pyspark.sql import functions as F
 
 from needlework.llm.scratch import load
 from needlework.llm.subwords import DEFAULT_VOCABULARY, Subwords
+from needlework.llm.tokens import slices
 
 CAPACITY = 8192
 GROUP_BYTES = 8 << 20
 PIECES = "doc_id long, piece_no int, n_tokens int, text string"
-WINDOWS = "window_id string, n_tokens long, n_pieces int, doc_ids array<long>, piece_nos array<int>, piece_tokens array<int>, text string"
+WINDOWS = "window_id string, n_tokens long, n_pieces int, doc_ids array<long>, piece_nos array<int>, piece_tokens array<int>, piece_chars array<int>, text string"
 
 
 def cut(text: str, capacity: int, words: Subwords) -> list[tuple[int, str]]:
-    """(tokens, piece): consecutive pieces of at most capacity tokens that join to the text."""
+    """(tokens and end mark, piece): consecutive pieces of at most capacity tokens that join to the text."""
+    return [(n + 1, piece) for n, piece in unmarked(text, capacity - 1, words)]
+
+
+def unmarked(text: str, capacity: int, words: Subwords) -> list[tuple[int, str]]:
+    """The pieces and their tokens, without end marks."""
     parts = words.pieces(text)
     if parts is None:
         n = len(words.encode_whole(text))
@@ -70,31 +76,32 @@ def difference(sizes: np.ndarray, k: int) -> tuple[np.ndarray, list[np.ndarray]]
     order = np.argsort(-sizes, kind="stable")
     if k == 1:
         return np.array([sizes.sum()]), [np.arange(n)]
-    # a slot is a node; nodes below n are pieces, n stands for "nothing", others join two nodes
+    # a slot is a node; nodes below n are pieces, n stands for "nothing", others join two nodes; a tuple holds its sums above 0, at most k, the largest first
     left, right = [], []
-    heap: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-    for at, i in enumerate(order):
-        sums, slots = np.zeros(k, np.int64), np.full(k, n, np.int64)
-        sums[0], slots[0] = sizes[i], i
-        heap.append((-int(sizes[i]), at, sums, slots))
+    heap: list[tuple[int, int, np.ndarray, np.ndarray]] = [(-int(sizes[i]), at, sizes[i : i + 1].astype(np.int64), np.array([i])) for at, i in enumerate(order)]
     heapq.heapify(heap)
     at = n
     while len(heap) > 1:
         _, _, a, sa = heapq.heappop(heap)
         _, _, b, sb = heapq.heappop(heap)
-        b, sb = b[::-1], sb[::-1]
-        sums = a + b
-        slots = np.where(sa == n, sb, sa)
-        both = np.nonzero((sa != n) & (sb != n))[0]
-        if len(both):
-            slots[both] = n + 1 + len(left) + np.arange(len(both))
+        over = len(a) + len(b) - k
+        if over <= 0:
+            sums, slots = np.concatenate([a, b[::-1]]), np.concatenate([sa, sb[::-1]])
+        else:
+            # the smallest of one side meet the smallest of the other
+            both = slice(len(a) - over, len(a))
+            sums, slots = np.concatenate([a, b[::-1][over:]]), np.concatenate([sa, sb[::-1][over:]])
+            sums[both] += b[::-1][:over]
+            joined = n + 1 + len(left) + np.arange(over)
             left.extend(sa[both].tolist())
-            right.extend(sb[both].tolist())
+            right.extend(sb[::-1][:over].tolist())
+            slots[both] = joined
         by = np.argsort(-sums, kind="stable")
         sums, slots = sums[by], slots[by]
-        heapq.heappush(heap, (-int(sums[0] - sums[-1]), at, sums, slots))
+        heapq.heappush(heap, (-int(sums[0] - (sums[-1] if len(sums) == k else 0)), at, sums, slots))
         at += 1
     _, _, sums, slots = heap[0]
+    sums, slots = np.concatenate([sums, np.zeros(k - len(sums), np.int64)]), np.concatenate([slots, np.full(k - len(slots), n)])
     members = []
     for node in slots.tolist():
         found, todo = [], [node]
@@ -142,29 +149,57 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = DEFAULT_VO
                 types = (pa.int64(), pa.int32(), pa.int32(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["doc_id", "piece_no", "n_tokens", "text"])
 
-    def fill(key: tuple, table: pa.Table) -> pa.Table:
+    def fill(group: int, table: pa.Table, first: int) -> pa.RecordBatch:
         table = table.sort_by([("doc_id", "ascending"), ("piece_no", "ascending"), ("n_tokens", "ascending"), ("text", "ascending")])
         sizes = table.column("n_tokens").to_numpy().astype(np.int64)
         ids, nos, texts = (table.column(c).to_pylist() for c in ("doc_id", "piece_no", "text"))
         out: list[dict] = []
-        for no, members in enumerate(windows(sizes, capacity)):
+        for no, members in enumerate(windows(sizes, capacity), first):
             out.append(
                 {
-                    "window_id": f"{key[0].as_py():08d}-{no:05d}",
+                    "window_id": f"{group:08d}-{no:05d}",
                     "n_tokens": int(sizes[members].sum()),
                     "n_pieces": len(members),
                     "doc_ids": [ids[i] for i in members],
                     "piece_nos": [nos[i] for i in members],
                     "piece_tokens": sizes[members].tolist(),
+                    "piece_chars": [len(texts[i]) for i in members],
                     "text": "".join(texts[i] for i in members),
                 }
             )
-        schema = pa.schema([("window_id", pa.string()), ("n_tokens", pa.int64()), ("n_pieces", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("piece_nos", pa.list_(pa.int32())), ("piece_tokens", pa.list_(pa.int32())), ("text", pa.string())])
-        return pa.Table.from_pylist(out, schema)
+        whole, many = pa.list_(pa.int32()), pa.list_(pa.int64())
+        schema = pa.schema([("window_id", pa.string()), ("n_tokens", pa.int64()), ("n_pieces", pa.int32()), ("doc_ids", many), ("piece_nos", whole), ("piece_tokens", whole), ("piece_chars", whole), ("text", pa.string())])
+        return pa.RecordBatch.from_pylist(out, schema)
+
+    def fill_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come ordered by group; a group is packed when it ends or has four times its size."""
+        held: list[pa.RecordBatch] = []
+        now, size, first = None, 0, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal held, size, first
+            if held:
+                done = fill(now, pa.Table.from_batches(held).drop_columns(["_group"]), first)
+                held, size, first = [], 0, first + done.num_rows
+                yield done
+
+        for batch in batches:
+            group = batch.column(4).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)] if len(group) else []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if group[a] != now:
+                    yield from flush()
+                    now, first = int(group[a]), 0
+                for part in slices(batch.slice(a, b - a), 3, group_bytes):
+                    held.append(part)
+                    size += part.column(3).nbytes
+                    if size > 4 * group_bytes:
+                        yield from flush()
+        yield from flush()
 
     pieces = texts.mapInArrow(cuts, PIECES)
     grouped = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece_no", F.md5("text")), F.lit(groups)).cast("int"))
-    return grouped.groupBy("_group").applyInArrow(lambda key, table: fill(key, table.drop_columns(["_group"])), WINDOWS)
+    return grouped.repartition("_group").sortWithinPartitions("_group").mapInArrow(fill_all, WINDOWS)
 
 
 def op3_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
