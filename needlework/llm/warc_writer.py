@@ -1,13 +1,13 @@
 """Operator 1: deterministic sharded WARC writer.
 
-Pages are put in the order of (url with its host's labels reversed, page_id, hash of the html). Running sizes over that order cut it into buckets of about
+Pages are put in the order of (url with its host's labels reversed, page_id, hash of the html, hash of the url). Running sizes over that order cut it into buckets of about
 ``bucket_bytes``, so a bucket's records depend on the pages alone and not on partitions, cores or attempts. One task writes a bucket: a gzip member per
 record, a new file whenever the next record would take the file beyond ``file_bytes`` compressed. Headers are regenerated: record ids are name-based on url and payload,
 dates are a parameter, lengths are counted, block and payload digests are SHA-1 in base 32. A file is written under a temporary name of its attempt and moved
 to its final name when complete; attempts write the same bytes, so a lost or repeated task changes nothing. The manifest, one row per record, is written likewise
 after all buckets are done: files that it doesn't list were never committed.
 
-Nulls: a null url is written as an empty target, a null html as an empty payload. Pages given twice are written twice. Empty tables give an empty manifest and no
+Nulls: a null url is written as an empty target; blanks and control characters of an url are percent-encoded in the header (the manifest has the url as it is); a null html as an empty payload. Pages given twice are written twice. Empty tables give an empty manifest and no
 file. A record larger than ``file_bytes`` has a file of its own. Columns other than page_id, url and html are ignored.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,6 +32,7 @@ BUCKET_BYTES = 64 << 20
 FILE_BYTES = 16 << 20
 MOST_TASKS = 50_000
 DATE = "2024-01-01T00:00:00Z"
+UNSAFE = re.compile(r"[\x00-\x20\x7f-\x9f\u2028\u2029]")
 NAMESPACE = uuid.UUID("3d3c1f0e-5d1a-4a4e-9a53-6f1d5a1f7a10")
 MANIFEST = "page_id long, url string, file string, record long, offset long, length long, payload_digest string, block_digest string"
 
@@ -46,6 +48,11 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def target(url: str) -> str:
+    """The url for a header line: nothing in it can end the line."""
+    return UNSAFE.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url)
+
+
 def record(url: str, payload: bytes, date: str) -> tuple[bytes, str, str]:
     """An uncompressed response record, its payload digest and its block digest."""
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
@@ -56,7 +63,7 @@ def record(url: str, payload: bytes, date: str) -> tuple[bytes, str, str]:
         "WARC-Type: response",
         f"WARC-Record-ID: <urn:uuid:{name}>",
         f"WARC-Date: {date}",
-        f"WARC-Target-URI: {url}",
+        f"WARC-Target-URI: {target(url)}",
         "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: {of_payload}",
         f"WARC-Block-Digest: {of_block}",
@@ -130,8 +137,8 @@ def write(pages: DataFrame, folder: str, bucket_bytes: int = BUCKET_BYTES, file_
         raise ValueError("sizes must be positive")
     spark = pages.sparkSession
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), sort_key(F.col("url")).alias("_key"), F.xxhash64(html).alias("_hash"))
-    order = ["_key", "page_id", "_hash"]
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), sort_key(F.col("url")).alias("_key"), F.xxhash64(html).alias("_hash"), F.xxhash64("url").alias("_url"))
+    order = ["_key", "page_id", "_hash", "_url"]
     # running sizes over the global order, from the keys alone; partitions come and go, the order stays
     sizes = rows.select(*order, F.octet_length("html").cast("long").alias("_size")).repartitionByRange(*order).sortWithinPartitions(*order)
 
@@ -141,12 +148,12 @@ def write(pages: DataFrame, folder: str, bucket_bytes: int = BUCKET_BYTES, file_
 
         part, so_far = TaskContext.get().partitionId(), 0
         for batch in batches:
-            size = batch.column(3).to_numpy()
+            size = batch.column(4).to_numpy()
             ends = np.cumsum(size) + so_far
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ends - size), pa.array(ends), pa.array(np.full(len(size), part, np.int32))], ["_key", "page_id", "_hash", "_from", "_to", "_part"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ends - size), pa.array(ends), pa.array(np.full(len(size), part, np.int32))], [*order, "_from", "_to", "_part"])
             so_far = int(ends[-1]) if len(ends) else so_far
 
-    placed = written(sizes.mapInArrow(running, "_key string, page_id long, _hash long, _from long, _to long, _part int"), "sizes")
+    placed = written(sizes.mapInArrow(running, "_key string, page_id long, _hash long, _url long, _from long, _to long, _part int"), "sizes")
     # a row per partition comes to the driver, then a row per bucket
     totals = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.max("_to").alias("n")).collect()}
     before, offsets = 0, []
@@ -158,17 +165,17 @@ def write(pages: DataFrame, folder: str, bucket_bytes: int = BUCKET_BYTES, file_
     firsts = marks.groupBy("bucket").agg(F.min(F.struct(*order)).alias("k")).orderBy("bucket").collect()
     ids = [int(r["bucket"]) for r in firsts]
 
-    def sortable(k: str, page_id: int | None, h: int) -> tuple:
+    def sortable(k: str, page_id: int | None, h: int, u: int) -> tuple:
         # as Spark orders: strings by bytes, nulls first
-        return k.encode(), page_id is not None, page_id or 0, h
+        return k.encode(), page_id is not None, page_id or 0, h, u
 
-    bounds = spark.sparkContext.broadcast([sortable(r["k"]["_key"], r["k"]["page_id"], r["k"]["_hash"]) for r in firsts])
+    bounds = spark.sparkContext.broadcast([sortable(r["k"]["_key"], r["k"]["page_id"], r["k"]["_hash"], r["k"]["_url"]) for r in firsts])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import bisect
 
         for batch in batches:
-            keys = zip(batch.column(3).to_pylist(), batch.column(0).to_pylist(), batch.column(4).to_pylist(), strict=True)
+            keys = zip(batch.column(3).to_pylist(), batch.column(0).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)
             at = [bisect.bisect_right(bounds.value, sortable(*k)) - 1 for k in keys]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([ids[i] for i in at], pa.int64()), pa.array(at, pa.int32())], [*batch.schema.names, "bucket", "_at"])
 
@@ -189,7 +196,7 @@ def write(pages: DataFrame, folder: str, bucket_bytes: int = BUCKET_BYTES, file_
         if roller is not None:
             roller.end()
 
-    marked = rows.mapInArrow(place, "page_id long, url string, html string, _key string, _hash long, bucket long, _at int")
+    marked = rows.mapInArrow(place, "page_id long, url string, html string, _key string, _hash long, _url long, bucket long, _at int")
     # a bucket a task: hashed buckets would meet in some tasks and leave others idle
     files = marked.repartitionById(max(1, min(len(ids), MOST_TASKS)), "_at").sortWithinPartitions("bucket", *order).mapInArrow(roll, MANIFEST)
     manifest = written(files, "manifest")
