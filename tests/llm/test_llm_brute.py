@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import gzip
 import hashlib
 import itertools
@@ -11,15 +12,17 @@ import math
 import random
 import re
 import struct
+import time
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 import xxhash
 
 import corpus_pipeline
-from needlework.llm import attention_lm, cgk_decontam, cover_suffixes, host_suffixes, kk_packing, order_minhash, repeats, ring_shards, suffix_dedup, tokens, url_rules, warc_writer
+from needlework.llm import attention_lm, cgk_decontam, cover_suffixes, host_suffixes, kk_packing, order_minhash, quality_ledger, repeats, ring_shards, suffix_dedup, tokens, url_rules, warc_writer
 from needlework.llm.align import distances
 from needlework.llm.components import components
 from needlework.llm.subwords import PackedSubwords, Subwords
@@ -227,6 +230,22 @@ def test_unjoined(spark, block, monkeypatch):
     assert got == want and len(want) > 20
 
 
+def test_large_lexicon(spark, monkeypatch):
+    """Long toxic texts that share thousands of words make a large lexicon, not an error; an expression and a set count the same."""
+    shared = " ".join(f"v{i:05d}word" for i in range(12_000))
+    docs = spark.createDataFrame([(i, f"{shared} own{i}") for i in range(6)] + [(9, "V00007word and v00008WORD, vile9 abc"), (10, None), (11, "plain")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 1) for i in range(6)], "doc_id long, quality int, toxic int")
+    lexicon = quality_ledger.lexicon(labels, docs)
+    assert len(lexicon) >= 24_000
+    counts = []
+    for most in (1 << 30, 0):
+        monkeypatch.setattr(quality_ledger, "EXPRESSION", most)
+        counts.append(sorted((r["doc_id"], r["toxic_words"], r["keep"]) for r in quality_ledger.ledger(docs, lexicon).collect()))
+        small = quality_ledger.ledger(docs, ["abc", "vile9", "v00007wo"]).where("doc_id = 9").first()
+        assert small["toxic_words"] == 3
+    assert counts[0] == counts[1] and counts[0][0][1] >= 12_000 and counts[0][-1] == (11, 0, True)
+
+
 @pytest.mark.parametrize("window,block", [(50, 1_500_000), (12, 300), (3, 50)])
 def test_passages(spark, corpus, monkeypatch, window, block):
     monkeypatch.setattr(repeats, "BLOCK_TOKENS", block)
@@ -279,6 +298,17 @@ def test_walk_recall():
     assert hit / total >= 0.95
 
 
+def test_walks_in_little_memory(monkeypatch):
+    """Windows of any length are walked in parts that fit, with the same symbols."""
+    rng = np.random.default_rng(5)
+    words = rng.integers(1, 1 << 63, 30_000, dtype=np.uint64)
+    start, size = rng.integers(0, 9000, 40), np.concatenate([rng.integers(1, 60, 39), [20_000]])
+    want = cgk_decontam.walked(words, start[:39], size[:39], size[:39])
+    monkeypatch.setattr(cgk_decontam, "CELLS", 1 << 10)
+    assert np.array_equal(cgk_decontam.embed(words, start[:39], size[:39], size[:39]), want)
+    assert cgk_decontam.embed(words, start, size, size).shape == (*want.shape[:3], 40)
+
+
 def test_windows_of_moved_items():
     """Every window within the edits is looked at, whatever insertions and deletions stand before the words that it shares; most pass the walks."""
     rng = random.Random(14)
@@ -311,14 +341,14 @@ def test_ring(spark):
     df = spark.range(n).withColumnRenamed("id", "doc_id")
     got = {r["doc_id"]: (r["home_shard"], r["shard"], r["hops"]) for r in ring_shards.assign(df, "doc_id", shards, vnodes, slack).collect()}
     nodes = ring_shards.ring(shards, vnodes)
-    arcs = ring_shards.slot_to_arc(nodes)
-    paths = ring_shards.walks(nodes, shards)
+    places = [p for p, _ in nodes]
+    paths = [list(dict.fromkeys(s for _, s in nodes[i:] + nodes[:i])) for i in range(len(nodes))]
     order = []
     for i in range(n):
         h = xxhash.xxh64_intdigest(struct.pack("<q", i), seed=42)
         p = xxhash.xxh64_intdigest(b"order", seed=h)
         signed = p - (1 << 64) if p >> 63 else p
-        order.append((p >> 60, arcs[h >> 48], signed, i))
+        order.append((p >> 60, bisect.bisect_left(places, h) % len(nodes), signed, i))
     capacity = math.ceil((1 + slack) * n / shards)
     room = [capacity] * shards
     for _, arc, _, i in sorted(order):
@@ -334,6 +364,18 @@ def test_ring(spark):
     assert sum(more[i] != base[i] for i in base) / n < 0.45
 
 
+def test_large_ring():
+    """Every virtual node is some key's home, however many there are, and walks are as long as they must be."""
+    nodes = ring_shards.ring(3000, 40)
+    h = np.array([p - (1 << 64) if p >> 63 else p for p, _ in nodes])
+    got = ring_shards.arc_of(nodes).func(pd.Series(h))
+    assert len(set(got)) == len(nodes) == 120_000
+    counts = {(0, arc): 1 for arc in range(0, len(nodes), 7)}
+    segments = ring_shards.fill(counts, nodes, 3000, math.ceil(1.05 * len(counts) / 3000))
+    assert sum(t - f for _, _, f, t, _, _, _ in segments) == len(counts)
+    assert max(Counter(s for *_, s, _ in segments).values()) <= math.ceil(1.05 * len(counts) / 3000)
+
+
 def test_differencing():
     rng = random.Random(8)
     for _ in range(30):
@@ -344,6 +386,17 @@ def test_differencing():
         assert [int(sizes[m].sum()) for m in members] == sums.tolist()
         if len(sizes) > 8 * k:
             assert sums.max() - sums.min() <= 8
+        # a plain differencing of full tuples
+        heap = [(-int(sizes[i]), at, [int(sizes[i])] + [0] * (k - 1)) for at, i in enumerate(np.argsort(-sizes, kind="stable"))]
+        if k > 1:
+            at = len(heap)
+            while len(heap) > 1:
+                heap.sort()
+                (_, _, a), (_, _, b), *heap = heap
+                tuple_ = sorted((x + y for x, y in zip(a, b[::-1])), reverse=True)
+                heap.append((tuple_[-1] - tuple_[0], at, tuple_))
+                at += 1
+            assert heap[0][2] == sums.tolist()
         packed = kk_packing.windows(sizes, 100)
         assert sorted(i for m in packed for i in m.tolist()) == list(range(len(sizes)))
         assert all(sizes[m].sum() <= 100 for m in packed)
@@ -354,14 +407,21 @@ def test_packing_round_trip(spark, corpus):
     out = kk_packing.pack(spark.createDataFrame(docs, "doc_id long, text string"), 256, group_bytes=1 << 14).collect()
     words = Subwords()
     pieces: dict = {}
+    texts: dict = {}
     for r in out:
         assert r["n_tokens"] == sum(r["piece_tokens"]) <= 256 and r["n_pieces"] == len(r["doc_ids"])
+        assert sum(r["piece_chars"]) == len(r["text"])
+        at = 0
+        for i, no, n in zip(r["doc_ids"], r["piece_nos"], r["piece_chars"]):
+            texts.setdefault(i, {})[no] = r["text"][at : at + n]
+            at += n
         rest = r["text"]
         todo = list(zip(r["doc_ids"], r["piece_nos"], r["piece_tokens"]))
         for i, no, n in todo:
             pieces.setdefault(i, {})[no] = n
         assert len(rest) > 0
     joined = {i: sum(p.values()) for i, p in pieces.items()}
+    assert {i: "".join(x for _, x in sorted(p.items())) for i, p in texts.items()} == {i: t for i, t in docs if t}
     for i, t in docs:
         assert sorted(pieces[i]) == list(range(len(pieces[i])))
         cut = kk_packing.cut(t, 256, words)
@@ -369,6 +429,17 @@ def test_packing_round_trip(spark, corpus):
         assert joined[i] >= len(words.encode_whole(t)) - len(cut)
 
 
+def test_packing_of_equal_rows(spark):
+    """Rows that are equal share a group, which is packed in parts; many short texts take little memory."""
+    rows = [(1, "the same text again " * 20)] * 300 + [(i, "short") for i in range(200)]
+    out = kk_packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), 256, group_bytes=1 << 12).collect()
+    assert len({r["window_id"] for r in out}) == len(out)
+    assert Counter(i for r in out for i in r["doc_ids"])[1] >= 300 and sum(r["n_pieces"] for r in out if 5 in r["doc_ids"]) > 0
+    assert sum(len(r["text"]) for r in out) == sum(len(t) for _, t in rows)
+    sums, members = kk_packing.difference(np.ones(20_000, np.int64), 5000)
+    assert set(sums.tolist()) == {4} and sum(map(len, members)) == 20_000
+
+
 def test_subwords():
     words, packed = Subwords(), PackedSubwords()
     for t in ["", " ", "a", " a  b ", "a \n b", "\n\n x", "don't stop", "é ü ß", "a  b", "tab\tx y", "x" * 300]:
@@ -410,6 +481,46 @@ def test_warc_round_trip(spark, sf, tmp_path):
     assert runs[0] == runs[1]
 
 
+def test_warc_ties_and_odd_urls(spark, tmp_path):
+    """Rows that differ in the scheme alone have one order, and an url can't write header lines."""
+    rows = [(1, u, "<p>x</p>") for u in ("http://a.example/x", "https://a.example/x", "ftp://a.example/x", "HTTP://a.example/x")] + [(2, "http://b.example/ y\r\nX-Bad: 1\u2028", "y")]
+    made = []
+    for n, r in enumerate((rows, rows[::-1])):
+        found = warc_writer.write(spark.createDataFrame(r, "page_id long, url string, html string"), f"file://{tmp_path}/{n}").orderBy("file", "record").collect()
+        files = {p.name: p.read_bytes() for p in (tmp_path / str(n)).glob("*.gz")}
+        made.append(([tuple(x) for x in found], files))
+        assert {x["url"] for x in found} == {u for _, u, _ in rows}
+        for x in found:
+            headers, _ = read_warc(files[x["file"]][x["offset"] : x["offset"] + x["length"]])
+            assert "X-Bad" not in headers
+            assert headers["WARC-Target-URI"] == x["url"].replace(" ", "%20").replace("\r\n", "%0D%0A").replace("\u2028", "%E2%80%A8")
+    assert made[0] == made[1]
+
+
+def test_warc_layout(spark, sf, tmp_path):
+    """Order, buckets and the places where files are rolled, recomputed record by record."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    rows = pages.select("page_id", "url", "html", warc_writer.sort_key(pages["url"]).alias("k")).collect()
+    rows = sorted(rows, key=lambda r: (r["k"].encode(), r["page_id"]))
+    assert len({(r["k"], r["page_id"]) for r in rows}) == len(rows)
+    bucket_bytes, file_bytes, at = 100_000, 30_000, 0
+    want, now, no, size, count = [], None, 0, 0, 0
+    for r in rows:
+        bucket = at // bucket_bytes
+        at += len(r["html"].encode())
+        packed = len(warc_writer.member(warc_writer.record(r["url"], r["html"].encode(), warc_writer.DATE)[0]))
+        if bucket != now:
+            now, no, count = bucket, -1, 0
+        if no < 0 or (count and size + packed > file_bytes):
+            no, count = no + 1, 0
+            size = len(warc_writer.member(warc_writer.info(f"part-{bucket:08d}-{no:05d}.warc.gz", warc_writer.DATE)))
+        want.append((r["page_id"], f"part-{bucket:08d}-{no:05d}.warc.gz", count, size, packed))
+        size += packed
+        count += 1
+    got = warc_writer.write(pages, f"file://{tmp_path}/w", bucket_bytes, file_bytes).orderBy("file", "record").collect()
+    assert [(r["page_id"], r["file"], r["record"], r["offset"], r["length"]) for r in got] == want
+
+
 def test_rules(spark):
     rng = random.Random(9)
     hosts = ["spam-farm.example.org", "cheap-pills.example.com", "news.example.com", "www.plain.example.net"]
@@ -451,6 +562,28 @@ def test_rules_of_least_support(spark, total):
     assert url_rules.mine(df, known, support=21).count() == 0
 
 
+def test_rules_of_long_urls(spark):
+    """Many parameters that always come together don't make a set of each subset."""
+    many = "&".join(f"p{i}=1" for i in range(25))
+    pages = [(i, f"http://x.example/{'bad' if i % 3 else 'good'}/{i}?{many}") for i in range(90)] + [(i, f"http://y.example/{i}?{many}&only=1") for i in range(90, 120)] + [(i, f"http://z.example/{i}") for i in range(120, 400)]
+    labels = [(i, int(i >= 120 or (i < 90 and i % 3 == 0)), 0) for i in range(400)]
+    df, known = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {tuple(r["tokens"]): (r["support"], round(r["confidence"], 9)) for r in url_rules.mine(df, known, support=20, confidence=0.5, lift=1.2).collect()}
+    want = {("host:y",): (30, 1.0), ("path:bad",): (60, 1.0), ("query:only=1",): (30, 1.0), ("host:x",): (60, round(60 / 90, 9))} | {(f"query:p{i}=1",): (90, 0.75) for i in range(25)}
+    assert got == want
+
+
+def test_open_tags():
+    """Pages of tags that never end are read in time that grows as they do, and as text."""
+    for x in ("<a ", "<script ", "<!x ", "</p "):
+        began = time.perf_counter()
+        assert len(host_suffixes.stream(x * 100_000 + "end").split()) == 100_001
+        assert host_suffixes.stream("<b>in</b> " + x * 100_000 + "<!-- gone").split()[:3] == [host_suffixes.MARK + "b", "in", host_suffixes.MARK + "/b"]
+        host_suffixes.stream(x * 100_000 + "<!-- > -->")
+        assert time.perf_counter() - began < 5
+    assert host_suffixes.stream("1 < 2 <p>x <y").split() == ["1", "<", "2", host_suffixes.MARK + "p", "x", "<y"]
+
+
 @pytest.mark.parametrize("group_bytes", [32 << 20, 20_000, 2_000])
 def test_boilerplate(spark, sf, group_bytes):
     rows = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()][:120]
