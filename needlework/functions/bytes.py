@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,6 +48,19 @@ def piece_lengths(s: Column, raw: bytes) -> Column:
     return F.transform(F.split(s, overlapping(raw), -1), lambda x: F.length(x).cast("long"))
 
 
+def places(s: Column, raw: bytes) -> Column:
+    """Where raw begins in s, in order. Only the lengths of the pieces leave the JVM, for their running sums."""
+
+    def running(lengths: pd.Series) -> pd.Series:
+        return lengths.map(lambda x: x.cumsum())
+
+    # without the last piece, which no occurrence ends
+    pieces = piece_lengths(s, raw)
+    ends = F.pandas_udf(running, "array<long>")(F.slice(pieces, 1, F.size(pieces) - 1))
+    head = F.when(F.startswith(s, latin(raw)), F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<long>"))
+    return F.concat(head, ends)
+
+
 def checked(content: Column, mode: str = TEXT) -> Column:
     """The content; in text mode a zero byte in it is an error when the row is read."""
     if mode != TEXT:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from needlework.functions.bytes import TEXT, hits_in, latin, one_char_per_byte, pattern_bytes, piece_lengths
+from needlework.functions.bytes import TEXT, hits_in, latin, one_char_per_byte, pattern_bytes, places
 
 HITS = ["shard_id", "shard_pos", "doc_id", "doc_offset"]
 BLOCK = 1 << 16
@@ -26,12 +26,9 @@ def count_per_document(docs: DataFrame, pattern: bytes | str, mode: str = TEXT)
 
 
 def positions(rows: DataFrame, s: Column, raw: bytes, keys: list[str]) -> DataFrame:
-    """keys and pos (bytes) of each occurrence of raw in s; keys name a row."""
+    """keys and pos (bytes) of each occurrence of raw in s, row by row: keys may repeat or be null."""
     found = rows.select(*keys, s.alias("_s")).where(F.contains("_s", latin(raw)))
-    pieces = found.select(*keys, F.startswith("_s", latin(raw)).alias("_head"), F.posexplode(piece_lengths(F.col("_s"), raw)).alias("_k", "_len"))
-    before = Window.partitionBy(*keys).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
-    placed = pieces.withColumn("pos", F.coalesce(F.sum("_len").over(before), F.lit(0)).cast("long"))
-    return placed.where("_k > 0 OR _head").select(*keys, "pos")
+    return found.select(*keys, F.explode(places(F.col("_s"), raw)).alias("pos"))
 
 
 def locate_doc_safe(docs: DataFrame, pattern: bytes | str, mode: str = TEXT) -> DataFrame:
