@@ -59,12 +59,18 @@ def extract(segments: DataFrame, start: int, length: int, shard_id: int = 0, mod
     return got + b"\0" * (length - len(got))
 
 
-def slices(segments: DataFrame, start: int, length: int) -> DataFrame:
+def slices(segments: DataFrame, start: int, length: int, keys: list[str] | None = None) -> DataFrame:
     """The parts of segments that [start, start + length) touches."""
     lo = F.greatest(F.lit(start) - F.col("shard_offset"), F.lit(0))
     hi = F.least(F.lit(start + length) - F.col("shard_offset"), F.col("len"))
     touched = segments.where((F.col("shard_offset") < start + length) & (F.col("shard_offset") + F.col("len") > start))
-    return touched.select("shard_offset", F.substring("content", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("part"))
+    return touched.select(*(keys or []), "shard_offset", F.substring("content", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("part"))
+
+
+def extracts(segments: DataFrame, start: int, length: int) -> DataFrame:
+    """(shard_id, content): bytes [start, start + length) of every shard's text, as far as it goes, without end marks."""
+    touched = slices(segments, start, length, ["shard_id"])
+    return touched.groupBy("shard_id").agg(F.expr("listagg(part, x'') WITHIN GROUP (ORDER BY shard_offset)").alias("content"))
 
 
 def snippet(content: Column, start: int, length: int) -> Column:
@@ -74,8 +80,7 @@ def snippet(content: Column, start: int, length: int) -> Column:
 
 def reassembled(segments: DataFrame) -> DataFrame:
     """(doc_id, content) of every document that has segments."""
-    parts = F.sort_array(F.collect_list(F.struct("part_index", "content")))
-    return segments.groupBy("doc_id").agg(parts.alias("p")).select("doc_id", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["content"])).alias("content"))
+    return segments.groupBy("doc_id").agg(F.expr("listagg(content, x'') WITHIN GROUP (ORDER BY part_index)").alias("content"))
 
 
 def get_document(segments: DataFrame, doc_id: int) -> bytes:

@@ -21,9 +21,12 @@ def symbol_histogram(docs: DataFrame, by: list[str] | None = None) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(256, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                if x.is_valid:
-                    seen += np.bincount(np.frombuffer(x.as_buffer(), np.uint8), minlength=256)
+            x = batch.column(0).drop_null()
+            if len(x):
+                ends = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1]
+                data = np.frombuffer(x.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+                for at in range(0, len(data), 1 << 20):
+                    seen += np.bincount(data[at : at + (1 << 20)], minlength=256)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], ["symbol", "cnt"])
 

@@ -191,6 +191,23 @@ def intervals_by_shard(segments: DataFrame, patterns: dict[str, bytes | str], mo
     return by_shard(segments, search, "pattern string, sp long, ep long", mode)
 
 
+def located_by_shard(segments: DataFrame, pattern: bytes | str, mode: str = TEXT) -> DataFrame:
+    """(shard_id, shard_pos) of every hit in each shard's text, read off its suffix order; the empty pattern is everywhere, at the end mark too."""
+    raw = pattern_bytes(pattern, mode)
+
+    def search(text: bytes, _: np.ndarray, sa: np.ndarray) -> dict[str, np.ndarray]:
+        sp, ep = interval(text, sa, raw)
+        return {"shard_pos": np.sort(sa[sp : ep + 1])}
+
+    return by_shard(segments, search, "shard_pos long", mode)
+
+
+def located(segments: DataFrame, table: DataFrame, pattern: bytes | str, mode: str = TEXT) -> DataFrame:
+    """The same from a suffix table that was kept: the rows between the pattern's first and last one, which are all that is read of it."""
+    found = intervals(segments, table, {"": pattern}, mode).select("shard_id", "sp", "ep")
+    return table.join(found, "shard_id").where(F.col("row").between(F.col("sp"), F.col("ep"))).select("shard_id", F.col("sa").alias("shard_pos"))
+
+
 def suffix_array_joins(docs: DataFrame) -> DataFrame:
     """(doc_id, row, sa) of each document's suffixes by prefix doubling in DataFrames, for texts beyond one task; each round is checkpointed."""
     hexed = docs.select("doc_id", F.hex("content").alias("h"))
