@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from needlework.functions.bytes import format_bytes, one_char_per_byte
+from needlework.functions.bytes import BINARY, format_bytes, one_char_per_byte
 from needlework.operators import access, search, shard, stats, suffix
 from needlework.sources import corpus
 
@@ -13,6 +13,7 @@ CHUNK = 65536
 SMALL_CHUNK = 4097
 THE, EE, ACCENT, TION = b"the ", b"ee", "é".encode(), b"tion"
 BATCH = {"the": THE, "ee": EE, "accent": ACCENT, "tion": TION, "absent": b"qqqq", "period": b".\n"}
+RANGE = (30_000, 600)
 PLACES = [0, 1, 99, 100, 5000, 99999, 100000, 250000]
 
 
@@ -241,6 +242,65 @@ def ingest_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.totals(parts(spark, sf_dir))
 
 
+def locate_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations share their conversation's id: places are those within each turn."""
+    turns = corpus.from_table(load(spark, sf_dir, "conversations"), "text", "conv_id")
+    return search.locate_doc_safe(turns, TION).withColumnRenamed("doc_id", "conv_id")
+
+
+def locate_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.locate_doc_safe(corpus.from_table(load(spark, sf_dir, "documents"), mode=BINARY), ACCENT, BINARY)
+
+
+def locate_one_byte(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.locate_merged(parts(spark, sf_dir, SMALL_CHUNK), b"q", doc_safe=True)
+
+
+def count_empty_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The empty pattern stands at every byte of every shard and at its end mark."""
+    return search.total(search.locate(parts(spark, sf_dir), b""))
+
+
+def extract_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stretch of every shard's text, over the ends of its documents."""
+    got = access.extracts(parts(spark, sf_dir), *RANGE)
+    return got.select("shard_id", F.hex("content").alias("slice"))
+
+
+def locate_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits read off the suffix order of shards of several documents."""
+    return suffix.located_by_shard(parts(spark, sf_dir), TION)
+
+
+def count_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits in each shard from the ends of the pattern's interval."""
+    found = suffix.intervals_by_shard(parts(spark, sf_dir), {"": TION})
+    return found.where("sp <= ep").select("shard_id", (F.col("ep") - F.col("sp") + 1).alias("n"))
+
+
+def access_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The byte before the suffix of each text's third row."""
+    found = suffix.access(suffix.suffixes(small(spark, sf_dir)), 2)
+    return found.select(F.col("shard_id").cast("long").alias("item_id"), F.col("bwt").cast("long").alias("bwt"))
+
+
+def doc_hits_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sorted places of each document with hits, as text."""
+    found = search.doc_hits(search.locate_doc_safe(docs(spark, sf_dir), TION))
+    return found.select("doc_id", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"), "n")
+
+
+def concatenated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as one text with its turns' starts, cut into documents again."""
+    turns = load(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", F.struct("turn", F.col("text").cast("binary").alias("c")).alias("t"))
+    joined = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t")).select(
+        "conv_id",
+        F.aggregate("t", F.lit(b""), lambda a, x: F.concat(a, x["c"])).alias("content"),
+        F.transform(F.sequence(F.lit(1), F.size("t")), lambda i: F.aggregate(F.slice("t", 1, i - 1), F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x["c"]))).alias("offsets"),
+    )
+    return corpus.split_column(joined).groupBy("doc_ordinal").agg(F.count("*").alias("n"), F.sum(F.octet_length("content")).alias("n_bytes"), F.min(F.md5("content")).alias("digest"))
+
+
 def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of each shard, and as shown to people."""
     by = parts(spark, sf_dir).groupBy("shard_id").agg(F.sum("len").alias("n_bytes"))
@@ -293,5 +353,15 @@ QUERIES = {
         index_stats,
         ingest_totals,
         shard_sizes,
+        locate_repeated_ids,
+        locate_binary,
+        locate_one_byte,
+        count_empty_pattern,
+        extract_range,
+        locate_indexed,
+        count_indexed,
+        access_small,
+        doc_hits_listed,
+        concatenated_documents,
     )
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from needlework.plans.queries import BATCH, CHUNK, PLACES, SMALL_CHUNK
+from needlework.plans.queries import BATCH, CHUNK, PLACES, RANGE, SMALL_CHUNK
 
 
 def quoted(x: bytes | str) -> str:
@@ -62,9 +62,15 @@ crossing AS (SELECT *, unnest(range(0, CAST(length(tail) / 2 AS BIGINT))) AS p F
 over AS (SELECT shard_id, ord, doc_id, is_last, CAST(shard_offset + len - length(tail) / 2 + p AS BIGINT) AS shard_pos, CAST(doc_offset + len - length(tail) / 2 + p AS BIGINT) AS doc_offset FROM crossing
   WHERE substr(tail || after, 2 * p + 1, 8) = '74696F6E' AND p + 4 > length(tail) / 2)"""
 
-TION_SAFE = f"""{places("tion")}, {fold(SMALL_CHUNK)}, {SEGMENT_HITS},
+
+
+def tion_safe(chunk: int) -> str:
+    return f"""{places("tion")}, {fold(chunk)}, {SEGMENT_HITS},
 safe AS (SELECT shard_id, CAST(shard_offset + pos - doc_offset AS BIGINT) AS shard_pos, doc_id, pos AS doc_offset FROM inside WHERE pos + 4 <= doc_offset + len)"""
 
+
+TION_SAFE = tion_safe(SMALL_CHUNK)
+
 SUFFIX = """item AS (SELECT item_id, hex(encode(text)) AS h, CAST(strlen(text) AS BIGINT) AS n FROM benchmark WHERE text IS NOT NULL),
 suf AS (SELECT item_id, n, h, sa, substr(h, 2 * sa + 1) AS s FROM (SELECT *, unnest(range(0, n + 1)) AS sa FROM item)),
 sorted AS (SELECT item_id, n, h, sa, s, CAST(row_number() OVER (PARTITION BY item_id ORDER BY s) - 1 AS BIGINT) AS row FROM suf),
@@ -146,6 +152,21 @@ SELECT item_id, pattern, CAST(CASE WHEN hits = 0 THEN 1 ELSE below END AS BIGINT
         fold(CHUNK),
         "SELECT count(*) AS n_shards, CAST(sum(b) AS BIGINT) AS total_bytes, CAST(max(b) AS BIGINT) AS largest_shard, CAST(sum(s) AS BIGINT) AS n_segments, (SELECT count(DISTINCT doc_id) FROM seg) AS n_docs FROM (SELECT shard_id, sum(len) AS b, count(*) AS s FROM seg GROUP BY shard_id)",
     ),
+    "locate_repeated_ids": recursive(places("tion", "conversations", "conv_id"), "SELECT conv_id, pos FROM hit"),
+    "locate_binary": recursive(places("é"), "SELECT doc_id, pos FROM hit"),
+    "locate_one_byte": recursive(places("q"), "SELECT doc_id, pos FROM hit"),
+    "count_empty_pattern": recursive(fold(CHUNK), "SELECT CAST(sum(len) + count(DISTINCT shard_id) AS BIGINT) AS n FROM seg"),
+    "extract_range": recursive(
+        fold(CHUNK),
+        f"""SELECT shard_id, string_agg(substr(hex(encode(text)), CAST(2 * (doc_offset + greatest({RANGE[0]} - shard_offset, 0)) + 1 AS BIGINT), CAST(2 * (least({sum(RANGE)} - shard_offset, len) - greatest({RANGE[0]} - shard_offset, 0)) AS BIGINT)), '' ORDER BY ord) AS slice
+FROM seg JOIN documents USING (doc_id) WHERE shard_offset < {sum(RANGE)} AND shard_offset + len > {RANGE[0]} GROUP BY shard_id""",
+    ),
+    "locate_indexed": recursive(f"{tion_safe(CHUNK)}, {TION_OVER}", "SELECT shard_id, shard_pos FROM safe UNION ALL SELECT shard_id, shard_pos FROM over"),
+    "count_indexed": recursive(f"{tion_safe(CHUNK)}, {TION_OVER}", "SELECT shard_id, count(*) AS n FROM (SELECT shard_id FROM safe UNION ALL SELECT shard_id FROM over) GROUP BY shard_id"),
+    "access_small": f"WITH {SUFFIX} SELECT item_id, bwt FROM bwt WHERE row = 2",
+    "doc_hits_listed": recursive(places("tion"), "SELECT doc_id, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions, count(*) AS n FROM hit GROUP BY doc_id"),
+    "concatenated_documents": """WITH numbered AS (SELECT text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, encode(text)) - 1 AS doc_ordinal FROM conversations WHERE text IS NOT NULL)
+SELECT CAST(doc_ordinal AS BIGINT) AS doc_ordinal, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes, min(md5(text)) AS digest FROM numbered GROUP BY 1""",
     "shard_sizes": recursive(
         fold(CHUNK),
         "SELECT shard_id, n_bytes, CASE WHEN n_bytes >= 1048576 THEN printf('%.2f MiB', n_bytes / 1048576) WHEN n_bytes >= 1024 THEN printf('%.2f KiB', n_bytes / 1024) ELSE printf('%d B', n_bytes) END AS shown FROM (SELECT shard_id, CAST(sum(len) AS BIGINT) AS n_bytes FROM seg GROUP BY shard_id)",
