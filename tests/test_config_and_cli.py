@@ -91,3 +91,19 @@ def test_stream(spark, tmp_path):
     segments = cli.open_index(spark, str(index)).segments
     assert sorted(tuple(r) for r in search.locate_merged(segments, b"needle").collect()) == [(0, 0), (1, 8)]
     assert access.get_document(segments, 1) == b"another needle"
+
+
+def test_two_streams(spark, tmp_path):
+    """Streams with marks of their own fill one index, which may have been built before; nothing is lost and nothing taken twice."""
+    from needlework.streaming import ingest
+
+    index = str(tmp_path / "index")
+    (tmp_path / "first.txt").write_bytes(b"first")
+    cli.build(corpus.read_files(spark, [str(tmp_path / "first.txt")]), index)
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{name}.txt").write_bytes(f"text of {name}".encode())
+    for name in ("a", "b", "a"):
+        ingest.run_available(spark, str(tmp_path / name), index, str(tmp_path / f"marks-{name}"))
+    made = cli.open_index(spark, index).segments.orderBy("doc_id").collect()
+    assert [(r["doc_id"], bytes(r["content"])) for r in made] == [(0, b"first"), (1, b"text of a"), (2, b"text of b")]

@@ -91,11 +91,32 @@ def replay(lengths, chunk):
 def test_shard_rule_in_ranges(spark, monkeypatch):
     monkeypatch.setattr(shard, "RANGE_ROWS", 7)
     rng = random.Random(5)
-    for chunk in (2, 3, 9, 40):
+    asked = []
+    entered = shard.entered
+    monkeypatch.setattr(shard, "entered", lambda *args: asked.append(args) or entered(*args))
+    for chunk, table in ((2, 1024), (3, 1024), (9, 1024), (40, 1024), (130, 1024), (10**6, 1024), (40, 1), (130, 0)):
+        monkeypatch.setattr(shard, "TABLE", table)
+        del asked[:]
         lengths = [rng.choice([0, 1, 2, 5, 8, 13, 50]) for _ in range(60)]
         docs = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, len long")
         got = [(r["shard_id"], r["doc_id"], r["part_index"], r["doc_offset"], r["len"], r["shard_offset"]) for r in shard.plan(docs, chunk).orderBy("ord").collect()]
         assert got == replay(lengths, chunk)
+        # where tables are small enough, no range is asked again
+        assert bool(asked) == (table < 2)
+    monkeypatch.setattr(shard, "TABLE", 1024)
+    one = shard.plan(spark.createDataFrame(list(enumerate(lengths)), "doc_id long, len long"), None).orderBy("ord").collect()
+    assert [(r["shard_id"], r["doc_id"], r["shard_offset"]) for r in one] == [(0, i, sum(lengths[:i])) for i, n in enumerate(lengths) if n]
+    for ids in ([1, 2, 2], [1, None, 2]):
+        with pytest.raises(InvalidInput):
+            shard.plan(spark.createDataFrame([(i, 3) for i in ids], "doc_id long, len long"), 9)
+
+
+def test_repeated_and_missing_ids(spark):
+    """Places are those within each row."""
+    rows = [(1, b"abc ab"), (1, b"xxab"), (None, b"abc ab"), (None, b"xxab"), (2, None)]
+    docs = spark.createDataFrame([(i, None if t is None else bytearray(t)) for i, t in rows], "doc_id long, content binary")
+    got = sorted((str(r["doc_id"]), r["pos"]) for r in search.locate_doc_safe(docs, b"ab").collect())
+    assert got == sorted((i, p) for i in ("1", "None") for p in (0, 4, 2))
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -121,7 +142,7 @@ def test_text_mode_refuses_zero_bytes(spark):
         search.locate(index(spark, [b"a"]), b"a\0")
     with pytest.raises(InvalidInput):
         corpus.from_memory(spark, [b"a\0b"])
-    assert spots(search.locate(index(spark, [bytes([0, 1, 2, 255, 0, 5, 6, 7, 255])]), bytes([0, 1]), BINARY)) == [0]
+    assert spots(search.locate(index(spark, [bytes([9, 0, 0, 200, 9, 0, 31])]), bytes([9, 0]), BINARY)) == [0, 4]
 
 
 def test_documents_and_slices(spark):
@@ -186,6 +207,8 @@ def test_suffixes(spark, word, tmp_path):
 def test_intervals(spark):
     parts = index(spark, [b"mississippi"])
     table = suffix.suffixes(parts)
+    assert spots(suffix.located(parts, table, b"ss")) == spots(suffix.located_by_shard(parts, b"ss")) == [2, 5]
+    assert spots(suffix.located(parts, table, b"x")) == [] and spots(suffix.located_by_shard(parts, b"")) == list(range(12))
     got = {r["pattern"]: (r["sp"], r["ep"]) for r in suffix.intervals(parts, table, {"issi": b"issi", "z": b"z", "": b"", "ss": b"ss"}).collect()}
     assert got == {"issi": (3, 4), "z": (1, 0), "": (0, 11), "ss": (10, 11)}
     assert [suffix.ranks(table, ord(c), 12).first()["n"] for c in "ism"] == [4, 4, 1]
