@@ -35,6 +35,8 @@ from needlework.llm.scratch import load, written
 
 WINDOW = 12
 GROUP_BYTES = 8 << 20
+#: of a bin's minimizers, sorted one after the other
+SHARES = 8
 #: hosts of more than one part that are sent to all tasks at most; more are joined by a shuffle
 BROADCAST_HOSTS = 100_000
 NULL_KEY = -(2**63)
@@ -139,8 +141,13 @@ class Bin:
         shared = np.minimum.reduceat(key, lead) != np.maximum.reduceat(key, lead)
         chosen = np.zeros(len(by), bool)
         chosen[by] = np.repeat(shared, np.diff(np.concatenate([lead, [len(by)]])))
-        if chosen.any():
-            _, at, begin, data = strips(self.words, self.window, self.starts[chosen], self.best[chosen])
+        # windows that are equal have equal anchors: a share of these at a time takes a share of the memory
+        share = (self.anchor >> np.uint64(32)) % np.uint64(SHARES)
+        for part in range(SHARES):
+            own = chosen & (share == part)
+            if not own.any():
+                continue
+            _, at, begin, data = strips(self.words, self.window, self.starts[own], self.best[own])
             table = pa.table({"key": self.key[at], "tid": at, "start": begin, "words": data})
             found = covered(table, self.window, first_stays=False)
             head = self.words.first[found.column("tid").to_numpy()]
