@@ -1,10 +1,11 @@
 """Operator 7: rule bitmask ledger.
 
-Every rule is evaluated once per document; the ledger keeps the measurements and one bit per failed rule. Policies are versioned masks over those bits:
-a document is kept under a policy iff ``fail_bits & mask = 0``, so a new policy never touches the texts again. Ablations (what each rule removes, what
-only it removes, what a policy without it would keep) come from bitwise aggregation over the ledger.
+Every rule is evaluated once per document; the ledger keeps the measurements and one bit per failed rule, and is stored so, in the shared folder. Policies are versioned masks
+that are applied to the stored bits (``applied``): a document is kept under a policy iff ``fail_bits & mask = 0``, so a new policy never touches the texts again. Ablations (what
+each rule removes, what only it removes, what a policy without it would keep) come from bitwise aggregation over the stored bits, for any policy.
 
-The ledger is written once, to the shared folder; the ablation and the pipeline read it there.
+``op7_quality_ledger`` evaluates and stores; ``quality_ablation`` reads what it stored in this session for the same files, and evaluates only where there is nothing. The pipeline
+stores a ledger of its own, which carries the rows.
 
 Words are maximal runs of bytes above 0x20. The toxicity rule counts words that begin, in lower case, with an entry of a lexicon mined from the labels: beginnings of six
 and of eight characters (and shorter words whole) that at least ``max(5, 0.5 %)`` of the different toxic labelled texts have, and of whose labelled texts at least 80 % are
@@ -21,10 +22,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from needlework.llm.scratch import load, written
+from needlework.llm.scratch import load, shared_path, written
 
 #: name, measurement, failing condition; the bit of a rule is its place here
 RULES = [
@@ -81,11 +83,28 @@ def words(text: Column) -> Column:
 def kept(docs: DataFrame, toxic: list[str], policy: str = CURRENT) -> DataFrame:
     """The rows of docs that the policy keeps, from a stored ledger that carries them."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    return written(ledger(docs.select(row, "text"), toxic, "_row"), "ledger").where(F.col(f"keep_{policy}")).select("_row.*")
+    book = written(measured(docs.select(row, "text"), toxic, "_row"), "ledger")
+    return book.where(passes(POLICIES[policy])).select("_row.*")
 
 
-def ledger(docs: DataFrame, toxic: list[str], carried: str = "doc_id") -> DataFrame:
-    """doc_id (or what else is carried), the measurements, fail_bits and, for each policy, keep_<version>; keep is the current policy."""
+def passes(policy: int) -> Column:
+    """Whether a row of a ledger fails no rule of the mask."""
+    return F.col("fail_bits").bitwiseAND(F.lit(policy)) == 0
+
+
+def applied(book: DataFrame, policies: dict[str, int] | None = None, current: str = CURRENT) -> DataFrame:
+    """A stored ledger and, for each policy, keep_<version>; keep is the current policy. Reads the bits alone, so that policies may be newer than the ledger."""
+    policies = POLICIES if policies is None else policies
+    return book.select("*", *[passes(m).alias(f"keep_{version}") for version, m in policies.items()], passes(policies[current]).alias("keep"))
+
+
+def ledger(docs: DataFrame, toxic: list[str]) -> DataFrame:
+    """The measurements, fail_bits and verdicts of docs without storing them."""
+    return applied(measured(docs, toxic))
+
+
+def measured(docs: DataFrame, toxic: list[str], carried: str = "doc_id") -> DataFrame:
+    """doc_id (or what else is carried), the measurements and fail_bits: what a ledger stores."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(F.col(carried), text.alias("_text")).withColumn("_w", words(F.col("_text")))
     n = F.size("_w")
@@ -98,7 +117,7 @@ def ledger(docs: DataFrame, toxic: list[str], carried: str = "doc_id") -> DataFr
     lower = upper.lower()
     pairs = F.zip_with(F.slice("_w", 2, F.greatest(n - 1, F.lit(0))), F.slice("_w", 1, F.greatest(n - 1, F.lit(0))), lambda a, b: a == b)
     adjacent = F.when(n < 2, F.lit(0)).otherwise(F.size(F.filter(pairs, lambda x: x)))
-    measured = base.select(
+    measures = base.select(
         carried,
         n.cast("long").alias("n_words"),
         F.round(dropped("#$%&*!|") / F.greatest(chars, F.lit(1)), 6).alias("symbol_ratio"),
@@ -112,10 +131,7 @@ def ledger(docs: DataFrame, toxic: list[str], carried: str = "doc_id") -> DataFr
     bits = F.lit(0)
     for name, _, fails in RULES:
         bits = bits.bitwiseOR(F.when(F.expr(fails), F.lit(BIT[name])).otherwise(F.lit(0)))
-    out = measured.withColumn("fail_bits", bits.cast("long"))
-    for version, m in POLICIES.items():
-        out = out.withColumn(f"keep_{version}", F.col("fail_bits").bitwiseAND(F.lit(m)) == 0)
-    return out.withColumn("keep", F.col(f"keep_{CURRENT}"))
+    return measures.withColumn("fail_bits", bits.cast("long"))
 
 
 def toxic_count(text: Column, toxic: list[str]) -> Column:
@@ -154,9 +170,9 @@ def branches(tree: dict) -> str:
     return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
 
 
-def ablation(book: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """For each rule of the policy: documents that fail it, documents that fail no other rule of it, and what is kept with and without the rule."""
-    m = POLICIES[policy]
+def ablation(book: DataFrame, policy: str | int = CURRENT) -> DataFrame:
+    """For each rule of the policy (a version or a mask): documents that fail it, documents that fail no other rule of it, and what is kept with and without the rule."""
+    m = POLICIES[policy] if isinstance(policy, str) else policy
     by_bits = book.groupBy(F.col("fail_bits").bitwiseAND(F.lit(m)).alias("bits")).agg(F.count("*").alias("n"))
     rules = book.sparkSession.createDataFrame([(name, BIT[name]) for name, _, _ in RULES if BIT[name] & m], "rule string, bit long")
     failing = F.col("bits").bitwiseAND(F.col("bit")) != 0
@@ -172,15 +188,49 @@ def ablation(book: DataFrame, policy: str = CURRENT) -> DataFrame:
     )
 
 
+#: where this session stored the ledger of a folder, and of which files: {(application, folder): (files, path, schema)}
+_STORED: dict = {}
+
+
+def files_of(spark: SparkSession, sf_dir: str) -> tuple:
+    """What tells whether documents and labels are still the files that they were: how many, and their names, sizes and times in one number."""
+    found = []
+    for table in ("documents", "labels"):
+        files = load(spark, sf_dir, table).select(F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").alias("h")).distinct()
+        found += files.agg(F.count("*"), F.bit_xor("h")).first()
+    return tuple(found)
+
+
+def store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluate every rule on every document, once, and store the ledger."""
+    files, docs = files_of(spark, sf_dir), load(spark, sf_dir, "documents")
+    book = measured(docs, lexicon(load(spark, sf_dir, "labels"), docs))
+    path = shared_path(spark, "ledger")
+    book.write.option("compression", "zstd").parquet(path)
+    _STORED[spark.sparkContext.applicationId, sf_dir] = files, path, book.schema
+    return spark.read.schema(book.schema).parquet(path)
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger that this session stored for these very files; it is stored now where there is none."""
+    files, path, schema = _STORED.get((spark.sparkContext.applicationId, sf_dir), (None, None, None))
+    if path is None or files != files_of(spark, sf_dir):
+        return store(spark, sf_dir)
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        # the shared folder was cleared
+        return store(spark, sf_dir)
+
+
 def op7_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger of all documents, as stored."""
-    docs = load(spark, sf_dir, "documents")
-    return written(ledger(docs, lexicon(load(spark, sf_dir, "labels"), docs)), "ledger")
+    """The policies applied to the ledger of all documents, as stored."""
+    return applied(store(spark, sf_dir))
 
 
 def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each rule of the current policy removes."""
-    return ablation(op7_quality_ledger(spark, sf_dir))
+    """What each rule of the current policy removes, from the stored ledger."""
+    return ablation(stored(spark, sf_dir))
 
 
 _UP = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

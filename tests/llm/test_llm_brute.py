@@ -11,6 +11,7 @@ import json
 import math
 import random
 import re
+import shutil
 import struct
 import time
 from collections import Counter
@@ -246,6 +247,34 @@ def test_large_lexicon(spark, monkeypatch):
     assert counts[0] == counts[1] and counts[0][0][1] >= 12_000 and counts[0][-1] == (11, 0, True)
 
 
+def test_policies_need_the_stored_ledger_alone(spark, tmp_path, monkeypatch):
+    """Rules are evaluated once and stored without verdicts; newer policies and ablations are applied to what is stored, without texts or another evaluation."""
+    sf = str(tmp_path)
+    table = [(0, "plain words of a text"), (1, "LOUD " * 9), (2, "LOUD | # " * 9), (3, None), (3, None), (None, "again " * 60)]
+    spark.createDataFrame(table, "doc_id long, text string").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    evaluated = []
+    evaluate = quality_ledger.measured
+    monkeypatch.setattr(quality_ledger, "measured", lambda *a: evaluated.append(a) or evaluate(*a))
+    rows = quality_ledger.op7_quality_ledger(spark, sf).collect()
+    assert len(evaluated) == 1 and len(rows) == len(table)
+    want = sorted((r["rule"], r["fails"], r["fails_only"], r["kept"], r["kept_without"]) for r in quality_ledger.ablation(spark.createDataFrame(rows)).collect())
+    assert sorted(map(tuple, quality_ledger.quality_ablation(spark, sf).select("rule", "fails", "fails_only", "kept", "kept_without").collect())) == want
+    book = quality_ledger.stored(spark, sf)
+    assert len(evaluated) == 1 and book.columns == ["doc_id", *quality_ledger.MEASURES, "fail_bits"]
+    policies = {"v3": quality_ledger.mask("empty", "tables"), "v4": quality_ledger.mask("shouting")}
+    got = quality_ledger.applied(book, policies, "v4").collect()
+    for r in got:
+        assert r["keep_v3"] == (r["fail_bits"] & policies["v3"] == 0) and r["keep"] == r["keep_v4"] == (r["fail_bits"] & policies["v4"] == 0)
+    assert sum(r["keep_v3"] for r in got) == 3 and sum(r["keep_v4"] for r in got) == 4
+    assert {r["rule"]: r["fails"] for r in quality_ledger.ablation(book, policies["v3"]).collect()} == {"empty": 2, "tables": 1}
+    # other files, another ledger; so where the stored one is gone
+    spark.createDataFrame([(7, "one more")], "doc_id long, text string").write.mode("append").parquet(f"{sf}/documents.parquet")
+    assert quality_ledger.stored(spark, sf).count() == len(table) + 1 and len(evaluated) == 2
+    shutil.rmtree(quality_ledger.stored(spark, sf).inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0].replace("//", "/"))
+    assert quality_ledger.stored(spark, sf).count() == len(table) + 1 and len(evaluated) == 3
+
+
 @pytest.mark.parametrize("window,block", [(50, 1_500_000), (12, 300), (3, 50)])
 def test_passages(spark, corpus, monkeypatch, window, block):
     monkeypatch.setattr(repeats, "BLOCK_TOKENS", block)
