@@ -7,8 +7,7 @@ it attended to, projected, to the last embedding, and predicts class and member
 
 Training is by parallel averaging over every document of the corpus. A hash puts each document into one of the rounds, which grow as ``ROUNDS``, and into one of the round's
 replicas, as many as its tokens fill; each replica runs Adam over its blocks from the common weights, and the mean of the replicas' weights by tokens starts the next round. So
-each document is trained on once; corpora of fewer than ``LEAST_TOKENS`` are gone over again until as many were seen. The last round (12 of 16 documents) trains the weights that
-predict (u and s) and leaves embeddings and attention as the rounds before made them; the README has figures for this.
+each document is trained on once, and all weights are trained on it; corpora of fewer than ``LEAST_TOKENS`` are gone over again until as many were seen.
 
 Scoring runs over blocks of ``STRIDE`` ids; each block is seen with the ``CONTEXT - STRIDE`` ids before it (a start mark at the text's beginning), so windows overlap and
 every id is scored exactly once, in batches of masked attention.
@@ -20,6 +19,7 @@ are ignored.
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Iterator
 
@@ -151,7 +151,7 @@ def by_group(chosen: np.ndarray) -> tuple[np.ndarray, list[int]]:
 
 def settle(z: np.ndarray) -> None:
     """Take the greatest off each row where exponents could leave the range of 32-bit floats."""
-    if not z.size or (z.max() < SAFE and z.max() > -SAFE):
+    if not z.size or -SAFE < z.max() < SAFE:
         return
     z -= z.max(axis=-1, keepdims=True)
 
@@ -290,8 +290,10 @@ def gradients(model: dict[str, np.ndarray], inputs: np.ndarray, goals: np.ndarra
     if a.max() > SAFE:
         a -= a.max(axis=2, keepdims=True)
     np.exp(a, out=a)
-    a *= (1 / (a @ np.ones(CONTEXT, kind)))[:, :, None]
+    # weights stay as they are; what they sum to is divided out of what they are multiplied by
+    share = (1 / (a @ np.ones(CONTEXT, kind))).reshape(n, 1)
     o = np.matmul(a, x3).reshape(n, WIDTH)
+    o *= share
     h = np.empty((n, WIDTH + 1), kind)
     np.add(o @ model["v"], x, out=h[:, :WIDTH])
     h[:, WIDTH] = 1
@@ -304,10 +306,13 @@ def gradients(model: dict[str, np.ndarray], inputs: np.ndarray, goals: np.ndarra
     dh[order] += dhs
     out["v"] = o.T @ dh
     np.matmul(dh, model["v"].T, out=(do := np.empty((n, WIDTH), kind)))
+    do *= share
+    # the mean of do x over what is attended to is do o
+    mean = np.einsum("ij,ij->i", do, o).reshape(blocks, CONTEXT, 1)
     do = do.reshape(x3.shape)
     times[:, 0] = do
     np.matmul(do, x3.transpose(0, 2, 1), out=da)
-    da -= np.einsum("bij,bij->bi", da, a)[:, :, None]
+    da -= mean
     da *= a
     out["r"] = np.bincount(DISTANCE.ravel(), (da.sum(axis=0) * SEEN).ravel(), CONTEXT)
     dq = np.matmul(da, x3).reshape(n, WIDTH)
@@ -412,6 +417,15 @@ def train(model: dict[str, np.ndarray], ids: list[np.ndarray], classes: Classes,
     return trainer.end()
 
 
+def keep_memory() -> None:
+    """What arrays leave free stays with the process, so that the system needn't map and clear it for the next ones; nothing changes where malloc has no such options."""
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt is not None:
+        # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
+        mallopt(-3, 32 << 20)
+        mallopt(-1, 256 << 20)
+
+
 def unpack(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x or b"", np.uint16) for x in column.to_pylist()]
 
@@ -465,6 +479,7 @@ def learner(shared):
     """Trains the replicas of a task, one after the other, each from the shared weights; their mean by tokens. Rows (replica, ids) come ordered by replica."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         weights, classes, rate, inner = shared.value
         model = unflat(weights, classes)
         total, n = np.zeros(len(weights)), 0
@@ -507,8 +522,11 @@ def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(tokens.values()), pa.int64()), pa.array(mean, pa.binary())], ["chunk", "n", "weights"])
 
 
-def fit(coded: DataFrame, classes: Classes, rounds: tuple[int, ...] = ROUNDS, replica_tokens: int = REPLICA_TOKENS, least_tokens: int = LEAST_TOKENS, rate: float = RATE) -> dict[str, np.ndarray]:
-    """Train on all of coded(doc_id, ids): each document in one of the rounds, whose sizes are as the numbers in ``rounds``."""
+def fit(
+    coded: DataFrame, classes: Classes, rounds: tuple[int, ...] = ROUNDS, replica_tokens: int = REPLICA_TOKENS, least_tokens: int = LEAST_TOKENS, rate: float = RATE, whole: bool = False
+) -> dict[str, np.ndarray]:
+    """Train on all of coded(doc_id, ids): each document in one of the rounds, whose sizes are as the numbers in ``rounds``. Each round trains all weights if ``whole``, as in op8_attention_lm;
+    else the last of several leaves embeddings and attention as they are."""
     spark = coded.sparkSession
     h = F.xxhash64("ids", "doc_id")
     share = F.pmod(h, F.lit(sum(rounds)))
@@ -524,7 +542,7 @@ def fit(coded: DataFrame, classes: Classes, rounds: tuple[int, ...] = ROUNDS, re
         return model
     again = math.ceil(least_tokens / total) - 1
     for wanted in [[t] for t in sorted(tokens)] + [sorted(tokens)] * again:
-        inner = len(rounds) == 1 or wanted != [len(rounds) - 1]
+        inner = whole or len(rounds) == 1 or wanted != [len(rounds) - 1]
         n = sum(tokens[t] for t in wanted)
         replicas = math.ceil(n / replica_tokens)
         tasks = min(replicas, MOST_TASKS)
@@ -544,6 +562,7 @@ def scored(coded: DataFrame, model: dict[str, np.ndarray], classes: Classes) ->
     shared = coded.sparkSession.sparkContext.broadcast((flat(model), classes))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         weights, classes = shared.value
         scorer = Scorer(unflat(weights, classes), classes)
         for batch in batches:
@@ -562,7 +581,7 @@ def op8_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, scored by a model trained on the same corpus."""
     coded = written(encoded(load(spark, sf_dir, "documents")), "ids")
     classes = Classes(counted(coded))
-    return scored(coded, fit(coded, classes), classes)
+    return scored(coded, fit(coded, classes, whole=True), classes)
 
 
 QUERIES = {"op8_attention_lm": op8_attention_lm}

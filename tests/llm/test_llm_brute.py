@@ -774,6 +774,25 @@ def test_training_is_the_mean_of_replicas(spark):
     assert all(np.isfinite(x).all() for x in more.values()) and not np.allclose(attention_lm.flat(more), attention_lm.flat(model), atol=1e-3)
 
 
+def test_every_document_trains_all_weights(spark, tmp_path, monkeypatch):
+    """In one pass of op8_attention_lm, the embedding of each id that any document goes on from is trained, and so are attention and what predicts, in every round."""
+    rng = random.Random(14)
+    spark.createDataFrame([(i, " ".join(f"{rng.randrange(10**6)} {w}" for w in prose(rng, 30).split())) for i in range(40)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    fit, score, rounds, models = attention_lm.fit, attention_lm.scored, [], []
+    learner = attention_lm.learner
+    monkeypatch.setattr(attention_lm, "fit", lambda *a, **k: fit(*a, least_tokens=1, **k))
+    monkeypatch.setattr(attention_lm, "learner", lambda shared: rounds.append(shared.value[3]) or learner(shared))
+    monkeypatch.setattr(attention_lm, "scored", lambda coded, model, classes: models.append((coded, model, classes)) or score(coded, model, classes))
+    rows = attention_lm.op8_attention_lm(spark, str(tmp_path)).collect()
+    coded, model, classes = models[0]
+    ids = [np.frombuffer(bytes(r["ids"]), np.uint16) for r in coded.collect()]
+    symbols = np.unique(np.concatenate([classes.symbol[x[:-1]] for x in ids]))
+    begun = attention_lm.start(classes)
+    assert len(symbols) > 500 and (model["e"][symbols] != begun["e"][symbols]).any(axis=1).all()
+    assert len(rounds) == len(attention_lm.ROUNDS) and all(rounds)
+    assert sum(r["n_tokens"] for r in rows) == sum(map(len, ids))
+
+
 def test_pipeline(spark, corpus, tmp_path):
     docs, items = corpus
     rng = random.Random(12)
