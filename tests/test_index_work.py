@@ -9,7 +9,7 @@ import __spark_entry__
 from needlework.operators import suffix
 from needlework.plans import queries
 
-QUERIES = ["resolve_documents", "bwt_documents", "rank_documents"]
+QUERIES = ["resolve_documents", "bwt_documents", "rank_documents", "lf_documents"]
 
 
 def test_elements_sorted(monkeypatch):
