@@ -9,7 +9,7 @@ import __spark_entry__
 from needlework.operators import suffix
 from needlework.plans import queries
 
-QUERIES = ["resolve_documents", "bwt_documents", "rank_documents", "lf_documents", "interval_documents", "suffix_array_documents", "count_indexed"]
+QUERIES = ["resolve_documents", "bwt_documents", "rank_documents", "lf_documents", "interval_documents", "suffix_array_documents", "count_indexed", "locate_indexed"]
 
 
 def test_elements_sorted(monkeypatch):
